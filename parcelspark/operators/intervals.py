@@ -104,6 +104,18 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _tree(rows: DataFrame, salts: int, hot: int) -> DataFrame:
+    """Partial states of (id, lo, hi), combined per (id, salt), and sorted per id for the last merge."""
+    part = rows.mapInArrow(_partial(salts, hot), _STATE)
+    tree = part.repartition("id", "salt").sortWithinPartitions("id", "salt", "lo").mapInArrow(_combine_salted, _STATE)
+    return tree.repartition("id").sortWithinPartitions("id", "lo")
+
+
+def merged_ranges(rows: DataFrame, salts: int = 32, hot: int = 64) -> DataFrame:
+    """Disjoint ranges (id, lo, hi) of ranges (id string, lo int, hi int) without nulls; touching ones join."""
+    return _tree(rows, salts, hot).mapInArrow(_combine, _STATE).drop("salt")
+
+
 def coverage(df: DataFrame, entity: str = "id", start: str = "valid_from", end: str = "valid_to", salts: int = 32, hot: int = 64) -> DataFrame:
     """Continuous periods and the gaps between them: (id, kind, date_from, date_to), dates as text, an open end empty.
 
@@ -120,9 +132,7 @@ def coverage(df: DataFrame, entity: str = "id", start: str = "valid_from", end:
         )
         .filter(F.col("id").isNotNull() & F.col("lo").isNotNull() & (F.col("hi") > F.col("lo")))
     )
-    part = rows.mapInArrow(_partial(salts, hot), _STATE)
-    tree = part.repartition("id", "salt").sortWithinPartitions("id", "salt", "lo").mapInArrow(_combine_salted, _STATE)
-    out = tree.repartition("id").sortWithinPartitions("id", "lo").mapInArrow(_emit, "id string, kind string, lo int, hi int")
+    out = _tree(rows, salts, hot).mapInArrow(_emit, "id string, kind string, lo int, hi int")
     day = lambda c: F.date_format(F.date_from_unix_date(c), "yyyy-MM-dd")
     return out.select("id", "kind", day(F.col("lo")).alias("date_from"), F.when(F.col("hi") == OPEN, "").otherwise(day(F.col("hi"))).alias("date_to"))
 
