@@ -7,7 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import mixing, packing, spans, tokens
+from . import garbled, mixing, packing, spans, tokens
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.found(garbled.damaged_values(table(spark, d, "features"))).select("archive_name", "vec_seq", "feature_id", "prop").distinct()
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    rows = garbled.found(garbled.damaged_values(table(spark, d, "features")))
+    return rows.select("archive_name", "vec_seq", "feature_id", "prop", "value", "chain", "written", F.round("damaged", 3).alias("damaged"))
+
+
+def p2_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged values per declared encoding and chain."""
+    rows = garbled.found(garbled.damaged_values(table(spark, d, "features")))
+    said = table(spark, d, "thf_data").groupBy("archive_name").agg(F.max("encoding").alias("encoding"))
+    return rows.join(said, "archive_name", "left").groupBy("encoding", "chain").agg(F.count("*").alias("damaged_values"))
 
 
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
@@ -52,5 +68,5 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_lengths(docs, spans.shared_blocks(docs, spans.Params()))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p2_sources, p8_found, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_shared)}
 ORACLE: dict[str, str] = {}
