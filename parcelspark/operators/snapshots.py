@@ -92,8 +92,8 @@ def _coalesce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if held is not None:  # the input's fields may be marked not null, the output's never are
+            b = pa.Table.from_batches([held, b.cast(held.schema)]).combine_chunks().to_batches()[0]
         key = pc.binary_join_element_wise(pc.fill_null(b.column("departement"), "\x00"), b.column("id"), "\x1f")
         ent = key.dictionary_encode().indices.to_numpy(zero_copy_only=False)
         pay = b.column("payload").dictionary_encode().indices.to_numpy(zero_copy_only=False)
