@@ -24,7 +24,7 @@ CODES = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineS
 
 def from_wkt(text: Column) -> Column:
     """A geometry of WKT or EWKT; null for null, empty, blank and unknown texts. Case and spacing don't matter."""
-    t = F.upper(F.regexp_replace(text, r"(?i)^\s*srid\s*=\s*[0-9]+\s*;|^\s+|\s+$", ""))
+    t = F.upper(F.regexp_replace(text, r"(?i)^\s*(srid\s*=\s*[0-9]+\s*;\s*)?|\s+$", ""))
     t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r" ?([(),]) ?", "$1")
     kind = F.regexp_extract(t, r"^([A-Z]+)\(", 1)
     name = F.lit(None)
