@@ -96,7 +96,8 @@ def mixture(sizes: DataFrame, rates: DataFrame, seed: int = 0, block_rows: int =
     done, level = None, 0
     while True:
         last = most <= 1
-        rows = written(rows.groupBy("plan", "source", "block").applyInArrow(_round(seed, level, last), _ROW), "mix")
+        n = min(max(1, most), 8) * rows.sparkSession.sparkContext.defaultParallelism
+        rows = written(rows.repartition(n, "plan", "source", "block").groupBy("plan", "source", "block").applyInArrow(_round(seed, level, last), _ROW), "mix")
         whole_rows = rows.filter(F.col("frac") == 0)
         done = whole_rows if done is None else done.unionByName(whole_rows)
         if last:

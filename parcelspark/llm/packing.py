@@ -116,7 +116,8 @@ def packed(sizes: DataFrame, documents: int, capacity: int, shard_rows: int = 20
         )
 
     shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(8)), F.lit(shards)).cast("int")
-    return sizes.withColumn("shard", shard).groupBy("shard").applyInArrow(run, _OUT)
+    n = min(shards, 8 * sizes.sparkSession.sparkContext.defaultParallelism)
+    return sizes.withColumn("shard", shard).repartition(n, "shard").groupBy("shard").applyInArrow(run, _OUT)
 
 
 def oversize(rows: DataFrame, capacity: int) -> DataFrame:
