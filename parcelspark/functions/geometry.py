@@ -6,6 +6,7 @@ Everything but EWKB and the BLAKE3 hash is a Column expression.
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .blake3 import blake3
+from .blake3 import blake3_many
 
 GEOM = "struct<kind:string,parts:array<array<array<struct<x:double,y:double>>>>>"
 # Names of the kinds, as text and as tags of the hash; codes of the binary form.
@@ -22,26 +23,47 @@ KINDS = {"POINT": "Point", "LINESTRING": "LineString", "POLYGON": "Polygon", "MU
 CODES = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineString": 5, "MultiPolygon": 6}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once: inside higher-order functions nothing else shares subexpressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(f: Callable[..., Column]) -> Callable[..., Column]:
+    """Evaluate the geometry that a function is applied to once, however often the function names it."""
+
+    @functools.wraps(f)
+    def bound(geom: Column, *args, **kwargs) -> Column:
+        return let(geom, lambda g: f(g, *args, **kwargs))
+
+    return bound
+
+
 def from_wkt(text: Column) -> Column:
     """A geometry of WKT or EWKT; null for null, empty, blank and unknown texts. Case and spacing don't matter."""
     t = F.upper(F.regexp_replace(text, r"(?i)^\s*(srid\s*=\s*[0-9]+\s*;\s*)?|\s+$", ""))
     t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r" ?([(),]) ?", "$1")
-    kind = F.regexp_extract(t, r"^([A-Z]+)\(", 1)
-    name = F.lit(None)
-    for k, v in KINDS.items():
-        name = F.when(kind == k, v).otherwise(name)
-    body = F.regexp_replace(F.regexp_replace(t, r"^[A-Z]+\(+", ""), r"\)+$", "")
-    parts = (
-        F.when(kind == "MULTIPOLYGON", F.split(body, r"\)\),\(\("))
-        .when(kind == "MULTILINESTRING", F.split(body, r"\),\("))
-        .when(kind == "MULTIPOINT", F.split(F.regexp_replace(body, "[()]", ""), ","))
-        .otherwise(F.array(body))
-    )
-    vertex = lambda v: F.struct(F.split(v, " ")[0].try_cast("double").alias("x"), F.try_element_at(F.split(v, " "), F.lit(2)).try_cast("double").alias("y"))
-    nested = F.transform(parts, lambda p: F.transform(F.split(p, r"\),\("), lambda r: F.transform(F.split(r, ","), vertex)))
-    return F.when(name.isNotNull(), F.struct(name.alias("kind"), nested.alias("parts")))
+    names = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
 
+    def vertex(v: Column) -> Column:
+        return let(F.split(v, " "), lambda c: F.struct(c[0].try_cast("double").alias("x"), F.try_element_at(c, F.lit(2)).try_cast("double").alias("y")))
 
+    def build(t: Column) -> Column:
+        kind = F.element_at(F.split(t, r"\("), 1)
+        body = F.regexp_replace(t, r"^[A-Z]+\(+|\)+$", "")
+        parts = (
+            F.when(kind == "MULTIPOLYGON", F.split(body, r"\)\),\(\("))
+            .when(kind == "MULTILINESTRING", F.split(body, r"\),\("))
+            .when(kind == "MULTIPOINT", F.split(F.regexp_replace(body, "[()]", ""), ","))
+            .otherwise(F.array(body))
+        )
+        nested = F.transform(parts, lambda p: F.transform(F.split(p, r"\),\("), lambda r: F.transform(F.split(r, ","), vertex)))
+        return F.struct(F.try_element_at(names, kind).alias("kind"), nested.alias("parts"))
+
+    known = t.rlike("^(" + "|".join(KINDS) + r")\(")
+    return F.when(known, let(t, build))
+
+
+@once
 def map_vertices(geom: Column, f: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     def one(v: Column) -> Column:
         x, y = f(v["x"], v["y"])
@@ -53,14 +75,19 @@ def map_vertices(geom: Column, f: Callable[[Column, Column], tuple[Column, Colum
 
 def round_half_away(v: Column, digits: int) -> Column:
     """round(v * 10^d) / 10^d in double arithmetic; halves go away from zero."""
-    f = 10.0**digits
-    return F.round(v * f) / f
+    return _half_away(v * 10.0**digits) / 10.0**digits
+
+
+def _half_away(v: Column) -> Column:
+    """Whole number next to a double, halves away from zero; ``round`` would go through decimals."""
+    return F.when(v < 0, -F.floor(F.lit(0.5) - v)).otherwise(F.floor(v + 0.5))
 
 
 def rounded(geom: Column, digits: int) -> Column:
     return map_vertices(geom, lambda x, y: (round_half_away(x, digits), round_half_away(y, digits)))
 
 
+@once
 def is_valid(geom: Column) -> Column:
     """Points are valid, lines need two vertices, rings four and to be closed exactly. Null is invalid."""
     ring = lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1))
@@ -70,11 +97,14 @@ def is_valid(geom: Column) -> Column:
 
 
 def _shoelace(r: Column) -> Column:
-    seq = F.when(F.size(r) > 1, F.sequence(F.lit(1), F.size(r) - 1)).otherwise(F.array().cast("array<int>"))
-    ox, oy = r[0]["x"], r[0]["y"]
-    return F.aggregate(seq, F.lit(0.0), lambda s, i: s + (r[i - 1]["x"] - ox) * (r[i]["y"] - oy) - (r[i]["x"] - ox) * (r[i - 1]["y"] - oy)) / 2
+    """Twice over: sum of cross products of neighbouring vertices, taken from the first vertex so that no digits are lost."""
+    first = lambda v: F.struct((v["x"] - r[0]["x"]).alias("x"), (v["y"] - r[0]["y"]).alias("y"))
+    n = F.greatest(F.size(r) - 1, F.lit(0))
+    pairs = let(F.transform(r, first), lambda q: F.zip_with(F.slice(q, F.lit(1), n), F.slice(q, F.lit(2), n), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) / 2
 
 
+@once
 def area(geom: Column) -> Column:
     """Area of polygons, holes taken off; 0 for other kinds."""
     part = lambda p: F.aggregate(F.transform(p, lambda r, i: F.when(i == 0, F.abs(_shoelace(r))).otherwise(-F.abs(_shoelace(r)))), F.lit(0.0), lambda s, v: s + v)
@@ -86,6 +116,7 @@ def vertices(geom: Column) -> Column:
     return F.size(F.flatten(F.flatten(geom["parts"])))
 
 
+@once
 def bbox(geom: Column) -> Column:
     v = F.flatten(F.flatten(geom["parts"]))
     xs, ys = F.transform(v, lambda c: c["x"]), F.transform(v, lambda c: c["y"])
@@ -95,13 +126,16 @@ def bbox(geom: Column) -> Column:
 # ------------------------------------------------------------------------------------------------ text forms
 
 
-def plain_number(v: Column, digits: int = 7) -> Column:
-    """A number as the shortest plain decimal of at most ``digits`` decimals."""
-    return F.regexp_replace(F.regexp_replace(v.cast(f"decimal(38,{digits})").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+def plain_number(v: Column) -> Column:
+    """A number as the shortest plain decimal that reads back as it; beyond 1e7 and below 1e-3 with at most 9 decimals."""
+    t = v.cast("string")
+    far = F.regexp_replace(F.regexp_replace(v.cast("decimal(38,9)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(t.contains("E"), far).when(t.endswith(".0"), F.substring_index(t, ".", 1)).otherwise(t)
 
 
-def to_ewkt(geom: Column, srid: int, digits: int = 7) -> Column:
-    vertex = lambda v: F.concat(plain_number(v["x"], digits), F.lit(" "), plain_number(v["y"], digits))
+@once
+def to_ewkt(geom: Column, srid: int) -> Column:
+    vertex = lambda v: F.concat(plain_number(v["x"]), F.lit(" "), plain_number(v["y"]))
     ring = lambda r: F.array_join(F.transform(r, vertex), ",")
     rings = lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, lambda r: F.concat(F.lit("("), ring(r), F.lit(")"))), ","), F.lit(")"))
     k = geom["kind"]
@@ -116,9 +150,10 @@ def to_ewkt(geom: Column, srid: int, digits: int = 7) -> Column:
     return F.when(F.size(geom["parts"]) > 0, F.concat(F.lit(f"SRID={srid};"), F.upper(k), body)).when(geom.isNotNull(), F.concat(F.lit(f"SRID={srid};"), F.upper(k), F.lit(" EMPTY")))
 
 
-def to_geojson(geom: Column, digits: int = 15) -> Column:
-    """GeoJSON geometry text. Numbers keep up to ``digits`` decimals."""
-    vertex = lambda v: F.concat(F.lit("["), plain_number(v["x"], digits), F.lit(","), plain_number(v["y"], digits), F.lit("]"))
+@once
+def to_geojson(geom: Column) -> Column:
+    """GeoJSON geometry text."""
+    vertex = lambda v: F.concat(F.lit("["), plain_number(v["x"]), F.lit(","), plain_number(v["y"]), F.lit("]"))
     joined = lambda a: F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))
     ring = lambda r: joined(F.transform(r, vertex))
     rings = lambda p: joined(F.transform(p, ring))
@@ -141,17 +176,23 @@ def normal_ring(r: Column) -> Column:
     """A ring without its closing vertex, from its least (x, y) on, in its own direction.
 
     Of several equal least vertices the first counts, in order of the ring."""
-    open_ = F.when((F.size(r) > 1) & (r[0] == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
-    at = F.array_position(open_, F.array_min(open_)).cast("int")
-    n = F.size(open_)
-    return F.when(n > 0, F.concat(F.slice(open_, at, n - at + 1), F.slice(open_, F.lit(1), at - 1))).otherwise(open_)
+    n = F.size(r)
+    open_ = F.when((n > 1) & (r[0] == F.element_at(r, -1)), F.slice(r, F.lit(1), n - 1)).otherwise(r)
+
+    def turned(o: Column) -> Column:
+        at = F.array_position(o, F.array_min(o)).cast("int")
+        return let(at, lambda k: F.concat(F.slice(o, k, F.size(o)), F.slice(o, F.lit(1), k - 1)))
+
+    return F.when(n > 0, let(open_, turned)).otherwise(r)
 
 
+@once
 def canonical(geom: Column, oriented: bool = False) -> Column:
     """Text that is equal for equal geometries: kind, then each ring in normal form, in steps of a millionth.
 
     With ``oriented`` the direction of rings doesn't count either."""
-    step = lambda v: F.concat_ws(" ", F.round(v["x"] * 1e6).cast("decimal(24,0)").cast("string"), F.round(v["y"] * 1e6).cast("decimal(24,0)").cast("string"))
+    whole = lambda v: _half_away(v * 1e6).cast("string")
+    step = lambda v: F.concat(whole(v["x"]), F.lit(" "), whole(v["y"]))
     poly = geom["kind"].isin("Polygon", "MultiPolygon")
 
     def ring(r: Column) -> Column:
@@ -199,7 +240,9 @@ def blake3_hash(geom: Column) -> Column:
 
     @F.pandas_udf("binary")
     def run(g: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if k is None else blake3(hash_bytes({"kind": k, "parts": p})) for k, p in zip(g["kind"], g["parts"])])
+        known = g["kind"].notna()
+        hashes = iter(blake3_many([hash_bytes({"kind": k, "parts": p}) for k, p in zip(g["kind"][known], g["parts"][known])]))
+        return pd.Series([next(hashes) if k else None for k in known])
 
     return run(geom)
 

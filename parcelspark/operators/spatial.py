@@ -199,6 +199,11 @@ class Pieces:
     def __init__(self, cuts: list[int], splits: list[int]):
         self.cuts, self.splits = np.array(cuts, np.int64), np.array(splits, np.int64)
         self.base = np.cumsum(self.splits**2) - self.splits**2
+        self.blocks = int((self.splits**2).sum())
+
+    def partitions(self, df: DataFrame) -> int:
+        """Partitions for the blocks. A fixed number, as their work isn't seen in their bytes."""
+        return max(2 * df.sparkSession.sparkContext.defaultParallelism, min(self.blocks, 20_000))
 
     def assign(self, first: np.ndarray, last: np.ndarray, salt: np.ndarray, points: bool) -> tuple[np.ndarray, np.ndarray]:
         """(row, block) for rows that span the pieces first..last."""
@@ -314,7 +319,8 @@ def near(points: DataFrame, radius_m: float, cut: Pieces) -> DataFrame:
     radius = int(round(radius_m * UNIT))
     p = points.mapInArrow(_pieces(cut, True), "id string, x long, y long, code long, piece int")
     d = points.mapInArrow(_discs(radius), "id string, x long, y long, lo long, hi long").mapInArrow(_pieces(cut, False), "id string, x long, y long, lo long, hi long, piece int")
-    return p.groupBy("piece").cogroup(d.groupBy("piece")).applyInArrow(_near(radius), "id_a string, id_b string").distinct()
+    n = cut.partitions(points)
+    return p.repartition(n, "piece").groupBy("piece").cogroup(d.repartition(n, "piece").groupBy("piece")).applyInArrow(_near(radius), "id_a string, id_b string").distinct()
 
 
 _COVER = "kind string, id string, geometry string, lo array<long>, hi array<long>, sure array<boolean>, piece int"
@@ -373,11 +379,10 @@ def within(points: DataFrame, regions: DataFrame, cut: Pieces, grid: int = 32) -
     Points in cells that lie inside a region as a whole are never refined. Regions may overlap, and several rows of a region
     count together. Null, empty and unreadable geometries contain nothing.
     """
-    n = max(1, regions.sparkSession.sparkContext.defaultParallelism)
+    n = cut.partitions(points)
     p = points.mapInArrow(_pieces(cut, True), "id string, x long, y long, code long, piece int")
-    # rows of one region stay together nowhere: covers are made per row, spread evenly
-    c = regions.repartition(2 * n, "id").mapInArrow(_covers(cut, grid), _COVER)
-    return p.groupBy("piece").cogroup(c.groupBy("piece")).applyInArrow(_within, "kind string, id_a string, id_b string").distinct()
+    c = regions.repartition(n, "id").mapInArrow(_covers(cut, grid), _COVER)
+    return p.repartition(n, "piece").groupBy("piece").cogroup(c.repartition(n, "piece").groupBy("piece")).applyInArrow(_within, "kind string, id_a string, id_b string").distinct()
 
 
 def parcel_neighbourhood(parcels: DataFrame, sections: DataFrame, communes: DataFrame, radius_m: float = 12, piece_rows: int = 50_000) -> DataFrame:

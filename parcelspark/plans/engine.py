@@ -166,6 +166,8 @@ def _built(holes: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
         # a text holds a thousand objects, as many as an archive may
         a = _anchors(spark, d).withColumn("archive", F.floor(F.col("id") / 1000))
+        # little data, much work: a fixed number of partitions, which AQE leaves alone
+        a = a.repartition(2 * spark.sparkContext.defaultParallelism, "archive")
         f = a.groupBy("archive").applyInArrow(build, f"id long, supf string, geom {GEOM}")
         return f.select("id", text.number(F.col("supf")).alias("supf"), "geom.kind", F.size(F.col("geom.parts")[0]).alias("rings"), geometry.vertices(F.col("geom")).alias("vertices"), F.round(geometry.area(F.col("geom")), 3).alias("area"))
 
