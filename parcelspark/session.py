@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,22 +18,28 @@ CONF = {
 }
 
 
-def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
+def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and the benchmark; on a cluster the caller brings its own."""
     b = SparkSession.builder.master(f"local[{cores}]").appName("parcelspark").config("spark.driver.memory", memory)
-    for k, v in (CONF | {"spark.sql.shuffle.partitions": str(partitions or cores)}).items():
+    for k, v in (CONF | {"spark.sql.shuffle.partitions": str(partitions or cores)} | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from ``spark.checkpoint.dir``; a local master without it gets a temporary one."""
+    """The folder all executors see, from ``spark.checkpoint.dir``; a local session without it gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="parcelspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="parcelspark-")
+            atexit.register(shutil.rmtree, _LOCAL_DIRS[app][7:], True)
+        at = _LOCAL_DIRS[app]
     return at.rstrip("/")
 
 
@@ -50,10 +58,5 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def partitions_for(spark: SparkSession, rows: int, rows_per_task: int, least: int = 1) -> int:
-    """How many partitions hold ``rows`` at about ``rows_per_task`` each; grows with the data, never below the default parallelism's share."""
-    return max(least, -(-rows // rows_per_task))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
