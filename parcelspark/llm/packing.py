@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity with documents (problem 8).
 
 Items are dealt to shards by a hash, so a shard is an even mixture whatever source or group of copies is large. A shard is
-packed by best fit in falling order of size: bins are kept in order of the room left, the successor of an item's size is
+packed by best fit in falling order of size, copies before all others: bins are kept in order of the room left, the successor of an item's size is
 the tightest bin, and the search goes on until a compatible one is found. A bin carries two bitmaps, its sources and its
 duplicate clusters; an item conflicts if its cluster, or a source that must stay apart from its own, is already there.
 """
@@ -66,7 +66,8 @@ def pack(sizes: list[int], clusters: list[int], sources: list[str | None], capac
     order: list[int] = []  # room << 32 | bin, ascending
     held_clusters: dict[int, int] = {}
     held_sources: dict[int, int] = {}
-    for (size, _, i, piece), bit in zip(items, conflict):
+    # copies first, while there are bins enough without another; all others then fill what is left
+    for (size, _, i, piece), bit in sorted(zip(items, conflict), key=lambda x: x[1] == 0):
         src = sources[i]
         at = bisect_left(order, size << 32)
         while at < len(order):
