@@ -11,7 +11,7 @@ import struct
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -238,11 +238,10 @@ def hash_bytes(geom: dict) -> bytes:
 def blake3_hash(geom: Column) -> Column:
     """32 bytes for exchange with stores that hash with BLAKE3; Arrow batches in Python, so only where that is needed."""
 
-    @F.pandas_udf("binary")
-    def run(g: pd.DataFrame) -> pd.Series:
-        known = g["kind"].notna()
-        hashes = iter(blake3_many([hash_bytes({"kind": k, "parts": p}) for k, p in zip(g["kind"][known], g["parts"][known])]))
-        return pd.Series([next(hashes) if k else None for k in known])
+    @F.arrow_udf("binary")
+    def run(g: pa.Array) -> pa.Array:
+        hashes = iter(blake3_many([hash_bytes(v) for v in g.to_pylist() if v is not None]))
+        return pa.array([next(hashes) if v.is_valid else None for v in g], pa.binary())
 
     return run(geom)
 
@@ -273,9 +272,9 @@ def ewkb(geom: dict, srid: int) -> bytes:
 
 
 def to_ewkb(geom: Column, srid: int) -> Column:
-    @F.pandas_udf("binary")
-    def run(g: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if k is None else ewkb({"kind": k, "parts": p}, srid) for k, p in zip(g["kind"], g["parts"])])
+    @F.arrow_udf("binary")
+    def run(g: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else ewkb(v, srid) for v in g.to_pylist()], pa.binary())
 
     return run(geom)
 

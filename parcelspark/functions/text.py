@@ -89,7 +89,7 @@ def number(value: Column) -> Column:
 def integer(value: Column) -> Column:
     """``number`` cut toward zero; null outside bigint."""
     n = number(value)
-    return F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).try_cast("bigint")
+    return F.when(F.abs(n) < 2.0**63, F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)))
 
 
 def clean_text(value: Column) -> Column:
