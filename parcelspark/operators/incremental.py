@@ -75,32 +75,86 @@ def archive_delta(files: DataFrame, ledger: DataFrame, runs: DataFrame) -> DataF
 def run_takes(files: DataFrame, ledger: DataFrame, runs: DataFrame) -> DataFrame:
     """What each import run had to take: (run_id, file_seq, archive_name, change).
 
-    For a run that started at t: the current file of each archive among those delivered up to t, against the latest
-    ledger row of a run that succeeded and finished up to t. ``runs`` is joined as a time axis: deliveries, imports and
-    run starts of one archive are ordered once in a window, instead of comparing every run with every archive. A file
-    stays due, and is reported for each run, until a successful run has recorded its checksum. Rows without an archive
-    name are left out here. Only state changes between runs are expanded, so the rows are the work that was due.
+    For a run that started at t: the current file of each archive among those delivered up to t, against the latest ledger row
+    of a run that succeeded and finished up to t. A file stays due, and is reported for each run, until a successful run has
+    recorded its checksum. Rows without an archive name or a time are left out, as are runs without a start.
+
+    Deliveries and imports are first reduced to the last of each archive between two starts, on the map side, so an archive
+    has at most two rows per run whatever was listed; then states are carried forward in one window per archive. The starts
+    come to the driver: one time per run.
     """
+    starts = sorted({r[0] for r in runs.filter(F.col("started_at").isNotNull()).select("started_at").distinct().collect()})
+    if not starts:
+        return files.limit(0).select(F.lit(0).cast(runs.schema["run_id"].dataType).alias("run_id"), "file_seq", "archive_name", F.lit("").alias("change"))
+    axis = F.array(*[F.lit(t) for t in starts])
+    slot = lambda t: F.size(F.filter(axis, lambda s: s < t))  # noqa: E731 - the first start that isn't before t
     ok = runs.filter((F.col("status") == "Success") & F.col("finished_at").isNotNull()).select("run_id", "finished_at")
-    d = files.filter(F.col("archive_name").isNotNull()).select(
-        "archive_name", F.col("delivered_at").alias("t"), F.lit(0).alias("k"), F.col("file_seq").alias("seq"), clean_checksum(F.col("checksum")).alias("c")
+    d = (
+        files.filter(F.col("archive_name").isNotNull() & F.col("delivered_at").isNotNull())
+        .withColumn("slot", slot(F.col("delivered_at")))
+        .groupBy("archive_name", "slot")
+        .agg(F.max_by(F.struct("file_seq", clean_checksum(F.col("checksum")).alias("c")), F.struct("delivered_at", "file_seq")).alias("file"))
+        .withColumn("imp", F.lit(None).cast("struct<c:string>"))
     )
-    i = ledger.join(ok, "run_id").select(
-        "archive_name", F.col("finished_at").alias("t"), F.lit(1).alias("k"), F.unix_micros(F.col("imported_at").cast("timestamp")).alias("seq"), clean_checksum(F.col("checksum")).alias("c")
+    i = (
+        ledger.filter(F.col("archive_name").isNotNull())
+        .join(ok, "run_id")
+        .withColumn("slot", slot(F.col("finished_at")))
+        .groupBy("archive_name", "slot")
+        .agg(F.max_by(F.struct(clean_checksum(F.col("checksum")).alias("c")), F.struct("finished_at", "imported_at", "checksum")).alias("imp"))
+        .withColumn("file", F.lit(None).cast(d.schema["file"].dataType))
     )
-    w = Window.partitionBy("archive_name").orderBy("t", "k", "seq")
-    e = d.unionByName(i).filter(F.col("t").isNotNull())
+    both = d.unionByName(i).groupBy("archive_name", "slot").agg(F.max("file").alias("file"), F.max("imp").alias("imp"))
+    w = Window.partitionBy("archive_name").orderBy("slot")
     e = (
-        e.withColumn("file", F.last(F.when(F.col("k") == 0, F.struct("seq", "c")), True).over(w))
-        .withColumn("imp", F.last(F.when(F.col("k") == 1, F.struct(F.col("c").alias("c"))), True).over(w))
-        .withColumn("until", F.lead("t").over(w))
+        both.withColumn("file", F.last("file", True).over(w))
+        .withColumn("imp", F.last("imp", True).over(w))
+        .withColumn("until", F.coalesce(F.lead("slot").over(w), F.lit(len(starts))))
         .filter(F.col("file").isNotNull())
-        .withColumn("change", F.when(F.col("imp").isNull(), "added").when(F.col("file.c").isNull() | (F.col("imp.c").isNull()) | (F.col("file.c") != F.col("imp.c")), "changed"))
-        .filter(F.col("change").isNotNull())
-        .select("archive_name", F.col("file.seq").alias("file_seq"), "change", "t", "until")
+        .withColumn("change", F.when(F.col("imp").isNull(), "added").when(F.col("file.c").isNull() | F.col("imp.c").isNull() | (F.col("file.c") != F.col("imp.c")), "changed"))
+        .filter(F.col("change").isNotNull() & (F.col("slot") < F.col("until")))
+        .select("archive_name", "file.file_seq", "change", F.explode(F.sequence(F.col("slot"), F.col("until") - 1)).alias("slot"))
     )
-    r = runs.filter(F.col("started_at").isNotNull()).select("run_id", "started_at")
-    return e.join(r, (r.started_at >= e.t) & (e.until.isNull() | (r.started_at < e.until))).select("run_id", "file_seq", "archive_name", "change").distinct()
+    r = runs.filter(F.col("started_at").isNotNull()).select("run_id", slot(F.col("started_at")).alias("slot"))
+    return e.join(r, "slot").select("run_id", "file_seq", "archive_name", "change").distinct()
+
+
+class Batch:
+    """Writes to several tables that become visible together, or not at all.
+
+    with Batch(ledger) as b: b.append(table, df); ... Data files are written at once, manifests when the block ends without an
+    exception; ``ledger`` names the versions that belong together, and is committed last. ``counts`` are the rows per table,
+    0 after a rollback.
+    """
+
+    def __init__(self, ledger: VersionedTable):
+        self.ledger, self.staged, self.counts, self.status = ledger, [], {}, "open"
+
+    def append(self, table: VersionedTable, df: DataFrame) -> None:
+        base = table.version()
+        new = table._write(df)
+        self.staged.append((table, base, new))
+        self.counts[table.root] = self.counts.get(table.root, 0) + sum(e.rows for e in new)
+
+    def __enter__(self) -> Batch:
+        return self
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        if kind is not None:
+            self.status, self.counts = "RolledBack", {t: 0 for t in self.counts}
+            return
+        versions = {}
+        for table, base, new in self.staged:
+            base = versions.get(table.root, base)
+            versions[table.root] = table.commit(base, table.entries(base) + new, table.manifest(base)["meta"])
+        here = self.ledger.version()
+        self.ledger.commit(here, self.ledger.entries(here), {**self.ledger.manifest(here)["meta"], "versions": {**self.ledger.manifest(here)["meta"].get("versions", {}), **versions}})
+        self.status = "Success"
+
+
+def visible_version(table: VersionedTable, ledger: VersionedTable) -> int:
+    """The version of ``table`` that the last whole batch left; later manifests are of a batch that died half-way."""
+    return ledger.manifest(ledger.version())["meta"].get("versions", {}).get(table.root, 0)
 
 
 # ------------------------------------------------------------------------------------------------ versioned tables

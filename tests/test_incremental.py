@@ -54,3 +54,27 @@ def test_archive_delta(spark):
     got = {(r.file_seq, r.change) for r in inc.archive_delta(files, ledger, runs).collect()}
     assert got == {(3, "changed"), (4, "changed"), (5, "added"), (7, "added")}
     assert inc.archive_delta(files.limit(0), ledger, runs).count() == 0
+
+
+def test_batch_is_all_or_nothing(spark, tmp_path):
+    a, b, ledger = (inc.VersionedTable(spark, f"file://{tmp_path}/{n}") for n in "abl")
+    df = spark.range(3)
+    with inc.Batch(ledger) as t:
+        t.append(a, df)
+        t.append(b, df)
+        t.append(a, df)
+    assert t.status == "Success" and t.counts[a.root] == 6 and a.read(inc.visible_version(a, ledger)).count() == 6
+    with pytest.raises(ZeroDivisionError), inc.Batch(ledger) as t:
+        t.append(a, df)
+        1 / 0  # noqa: B018
+    assert t.status == "RolledBack" and t.counts[a.root] == 0 and a.read(inc.visible_version(a, ledger)).count() == 6
+
+
+def test_runs(spark):
+    at = lambda h: datetime(2024, 1, 1, h)
+    files = spark.createDataFrame([(1, "a", "x", at(1)), (2, "a", "y", at(5)), (3, "b", None, at(2)), (4, None, "z", at(1)), (5, "c", "q", None)], "file_seq long, archive_name string, checksum string, delivered_at timestamp_ntz")
+    runs = spark.createDataFrame([(1, at(1), at(2), "Success"), (2, at(3), None, None), (3, at(4), at(6), "Success"), (4, at(6), at(7), "Failed"), (5, None, None, "Success")], "run_id long, started_at timestamp_ntz, finished_at timestamp_ntz, status string")
+    ledger = spark.createDataFrame([("a", "X ", at(2), 1), ("b", "w", at(5), 3), ("a", "y", at(6), 4)], "archive_name string, checksum string, imported_at timestamp_ntz, run_id long")
+    got = {(r.run_id, r.file_seq, r.change) for r in inc.run_takes(files, ledger, runs).collect()}
+    assert got == {(1, 1, "added"), (2, 3, "added"), (3, 3, "added"), (4, 2, "changed"), (4, 3, "changed")}
+    assert inc.run_takes(files, ledger, runs.limit(0)).count() == 0 and inc.run_takes(files.limit(0), ledger, runs).count() == 0
