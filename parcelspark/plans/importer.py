@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass, field
-from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,10 @@ from ..sources import archives
 from . import config as configs
 
 
+#: Changed archives that are named to the reader one by one; their paths come to the driver.
+MOST_PATHS = 10_000
+
+
 @dataclass
 class Report:
     """Counts of one import; ``by_type`` has inserted, duplicates, known and invalid features per table."""
@@ -123,52 +127,59 @@ def import_archives(
     if not report.archives_seen:
         raise FileNotFoundError(f"no .bz2 archives below {path}")
     known = ledger.read()
-    files = archives.read_files(spark, path)
+    source: str | list[str] = path
     if trust_stat and known is not None:
         fresh = _skip_known(listed, known, day, config, srid, compat, ["archive_name", "length", "modificationTime"])
-        names = [r["path"] for r in fresh.select("path").limit(17).collect()]
+        names = [r["path"] for r in fresh.select("path").limit(MOST_PATHS + 1).collect()]
         if not names:
             report.archives_skipped = report.archives_seen
             return report.finish(began)
-        files = reduce(DataFrame.unionByName, [archives.read_files(spark, p) for p in names]) if len(names) <= 16 else files.join(fresh.select("path"), "path", "left_semi")
-    todo = _skip_known(files.withColumn("checksum", archives.checksum()), known, day, config, srid, compat, ["archive_name", "checksum"])
+        source = names if len(names) <= MOST_PATHS else path  # beyond that all are read, and skipped by checksum
+    todo = _skip_known(archives.read_files(spark, source).withColumn("checksum", archives.checksum()), known, day, config, srid, compat, ["archive_name", "checksum"])
     parsed = written(archives.parse_files(todo, configs.wanted_types(tables) | {"COMMUNE", "SECTION"}, dep).withColumnRenamed("department", "departement"), "parsed")
-    sums = written(todo.select("path", "archive_name", "checksum").join(listed.select("path", "length", "modificationTime"), "path"), "sums")
-    report.archives_processed = sums.count()
+    bad, good = archives.only_errors(parsed), archives.only_features(parsed)
+    whole = F.col("error").isNotNull() & F.col("vec_seq").isNull()
+    n = parsed.agg(
+        F.count_if("archive").alias("archives"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(whole).alias("failed"), F.count_if(F.col("feature_id").isNotNull()).alias("features"), F.collect_set("epsg").alias("codes")
+    ).first()
+    report.archives_processed, report.error_count, report.archives_failed, report.features = n["archives"], n["errors"], n["failed"], n["features"]
     report.archives_skipped = report.archives_seen - report.archives_processed
-    bad = parsed.filter(F.col("error").isNotNull())
-    report.error_count = bad.count()
-    report.errors = [{"archive_name": r["archive_name"], **r["error"].asDict()} for r in bad.select("archive_name", "error").limit(50).collect()]
-    failed = bad.filter(F.col("vec_seq").isNull()).select("path").distinct()
-    report.archives_failed = failed.count()
-    good = parsed.filter(F.col("error").isNull())
-    report.features = good.count()
-    rows = reprojected(good, srid).withColumn("geom", geometry.rounded(F.col("geom"), digits)).withColumn("geometry_hash", geometry.geometry_hash(F.col("geom")))
-    rows = written(rows.join(archive_constants(good), "path").withColumn("_valid", geometry.is_valid(F.col("geom"))), "features")
-    valid = rows.filter("_valid")
-    for t in tables:
-        new = encode(valid, t)
-        store = stores[t.name]
-        version = store.version()
-        before = store.read(version) if store.entries(version) else None
-        staged = new.count()
-        if not staged:
-            continue
-        new = new.withColumn("valid_from", F.to_date(F.lit(day))).withColumn("valid_to", F.lit(None).cast("date")).withColumn("created_at", F.current_timestamp())
-        fresh = versioning.new_by_hash(new, before) if before is not None and t.hash_geom else new
-        fresh = written(fresh, "fresh")
-        kept = versioning.merge_absent(fresh, before if before is not None else fresh.limit(0), order=("geometry_hash",))
-        kept = kept.withColumn("bbox", geometry.bbox(F.col("geom"))).repartition("departement").sortWithinPartitions("departement", "bbox.xmin", "bbox.ymin")
-        files_added = store._write(kept)
-        inserted, unseen = sum(e.rows for e in files_added), fresh.count()
-        store.commit(version, store.entries(version) + [e for e in files_added if e.rows])
-        kinds = rows.filter(~F.col("_valid") & text.normal_type(F.col("feature_type")).isin(t.types)).count()
-        report.by_type[t.name] = {"inserted": inserted, "duplicates": unseen - inserted, "known": staged - unseen, "invalid": kinds}
-    done = sums.join(failed, "path", "left_anti").filter(F.col("checksum").isNotNull())
-    ledger.append(done.select("archive_name", "checksum", "length", "modificationTime", F.lit(day).alias("vintage"), F.lit(config).alias("config"), F.lit(srid).alias("srid"), F.current_timestamp().alias("imported_at")))
+    if n["errors"]:
+        report.errors = [{"archive_name": r["archive_name"], **r["error"].asDict()} for r in bad.select("archive_name", "error").limit(50).collect()]
+    if n["features"]:
+        rows = reprojected(good, srid, n["codes"]).withColumn("geom", geometry.rounded(F.col("geom"), digits)).withColumn("geometry_hash", geometry.geometry_hash(F.col("geom")))
+        rows = written(rows.join(archive_constants(good), "path").withColumn("_valid", geometry.is_valid(F.col("geom"))).withColumn("_kind", text.normal_type(F.col("feature_type"))), "features")
+        # as many rows as there are configured types
+        counts = {(r["_kind"], r["_valid"]): r["count"] for r in rows.groupBy("_kind", "_valid").count().collect()}
+        report.skipped_types = sum(c for (k, _), c in counts.items() if not any(k in t.types for t in tables))
+        jobs = [t for t in tables if any((k, True) in counts or (k, False) in counts for k in t.types)]
+        with ThreadPool(max(1, min(8, len(jobs)))) as pool:  # tables are independent, so their jobs overlap
+            done = pool.map(lambda t: _store(rows.filter("_valid"), t, stores[t.name], day), jobs)
+        for t, (inserted, unseen) in zip(jobs, done):
+            staged, invalid = (sum(counts.get((k, v), 0) for k in t.types) for v in (True, False))
+            unseen = staged if unseen is None else unseen
+            report.by_type[t.name] = {"inserted": inserted, "duplicates": unseen - inserted, "known": staged - unseen, "invalid": invalid}
+    failed = bad.filter(F.col("vec_seq").isNull()).select("path")
+    ok = parsed.filter(F.col("archive") & F.col("checksum").isNotNull()).select("path", "archive_name", "checksum")
+    ok = (ok.join(failed, "path", "left_anti") if n["failed"] else ok).join(listed.select("path", "length", "modificationTime"), "path")
+    ledger.append(ok.select("archive_name", "checksum", "length", "modificationTime", F.lit(day).alias("vintage"), F.lit(config).alias("config"), F.lit(srid).alias("srid"), F.current_timestamp().alias("imported_at")))
     return report.finish(began)
 
 
+def _store(rows: DataFrame, t: configs.Table, store: VersionedTable, day: str) -> tuple[int, int | None]:
+    """Add the rows of one table that it doesn't have; (inserted, rows whose hash isn't known, None if that doesn't count)."""
+    version = store.version()
+    before = store.read(version) if store.entries(version) else None
+    new = encode(rows, t).withColumn("valid_from", F.to_date(F.lit(day))).withColumn("valid_to", F.lit(None).cast("date")).withColumn("created_at", F.current_timestamp())
+    fresh = versioning.new_by_hash(new, before) if before is not None and t.hash_geom else new
+    kept = versioning.merge_absent(fresh, before if before is not None else new.limit(0), order=("geometry_hash",))
+    kept = kept.withColumn("bbox", geometry.bbox(F.col("geom"))).repartition("departement", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("departement", "bbox.xmin", "bbox.ymin")
+    added = [e for e in store._write(kept) if e.rows]
+    if added:
+        store.commit(version, store.entries(version) + added)
+    return sum(e.rows for e in added), (fresh.select("geometry_hash").count() if fresh is not new else None)
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     return VersionedTable(spark, f"{root}/{table}").read()
 
@@ -192,7 +203,7 @@ def export_geojson(spark: SparkSession, path: str, out: str, srid: int | None =
     from ..sources.sinks import write_collections
 
     parsed = written(archives.parse_files(archives.read_files(spark, path)), "parsed")
-    bad, good = parsed.filter(F.col("error").isNotNull()), parsed.filter(F.col("error").isNull())
+    bad, good = archives.only_errors(parsed), archives.only_features(parsed)
     if parsed.select("path").limit(1).count() == 0:
         raise FileNotFoundError(f"no archives below {path}")
     if srid is not None:

@@ -19,7 +19,7 @@ from ..functions.blake3 import blake3
 from ..functions.geometry import GEOM
 
 FEATURES = f"archive_name string, path string, department string, epsg int, year int, vec_seq int, link_pos int, feature_id string, feature_type string, geom {GEOM}, properties map<string,string>"
-_PARSED = FEATURES + ", error struct<level:string,code:string,entity_id:string,message:string>"
+_PARSED = FEATURES + ", error struct<level:string,code:string,entity_id:string,message:string>, archive boolean, checksum string"
 
 
 def list_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -29,11 +29,11 @@ def list_archives(spark: SparkSession, path: str) -> DataFrame:
     return df.select("path", F.regexp_extract(F.col("path"), "([^/]*)$", 1).alias("archive_name"), "modificationTime", "length")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """As ``list_archives``, with ``content``."""
-    glob = "*.bz2" if not path.endswith(".bz2") else "*"
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``list_archives``, with ``content``; a list names files."""
+    glob = "*.bz2" if isinstance(path, str) and not path.endswith(".bz2") else "*"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return df.select("path", F.regexp_extract(F.col("path"), "([^/]*)$", 1).alias("archive_name"), "content")
+    return df.select("path", F.regexp_extract(F.col("path"), "([^/]*)$", 1).alias("archive_name"), "modificationTime", "length", "content")
 
 
 def members(content: bytes) -> dict:
@@ -76,6 +76,7 @@ def normal(kind: str) -> str:
 
 def _rows(path: str, name: str, content: bytes, types: frozenset[str] | None) -> Iterator[dict]:
     base = {"archive_name": name, "path": path}
+    yield base | {"archive": True}
     try:
         for epsg, year, seq, f in parse_archive(content, types):
             row = base | {"epsg": epsg, "year": year, "vec_seq": seq}
@@ -90,40 +91,52 @@ def _rows(path: str, name: str, content: bytes, types: frozenset[str] | None) ->
 
 
 def parse_files(files: DataFrame, types: frozenset[str] | None = None, department: str | None = None) -> DataFrame:
-    """Rows of ``files`` (path, archive_name, content) to features and errors in one table; ``error`` is null for features.
+    """Rows of ``files`` (path, archive_name, content) to features and errors in one table, see ``only_features`` and ``only_errors``.
+
+    Each archive also has a row of its own with ``archive`` true, so that one without features isn't lost, and a column
+    ``checksum`` of ``files`` is kept.
 
     ``department``: a code for all, 'fromFile' to take overseas departments' three digits from the name, None for two.
     """
     schema = pa.schema(
         [("archive_name", pa.string()), ("path", pa.string()), ("epsg", pa.int32()), ("year", pa.int32()), ("vec_seq", pa.int32()), ("link_pos", pa.int32()), ("feature_id", pa.string()), ("feature_type", pa.string()),
          ("geom", pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))])), ("properties", pa.map_(pa.string(), pa.string())),
-         ("error", pa.struct([(c, pa.string()) for c in ("level", "code", "entity_id", "message")]))]
+         ("error", pa.struct([(c, pa.string()) for c in ("level", "code", "entity_id", "message")])), ("archive", pa.bool_()), ("checksum", pa.string())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, name, content in zip(*(b.column(c).to_pylist() for c in ("path", "archive_name", "content"))):
+            for path, name, content, hashed in zip(*(b.column(c).to_pylist() for c in ("path", "archive_name", "content", "checksum"))):
                 rows = []
                 for r in _rows(path, name, content, types):
-                    rows.append(r)
+                    rows.append(r | {"checksum": hashed} if hashed else r)
                     if len(rows) == 5000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    out = files.select("path", "archive_name", "content").mapInArrow(run, _PARSED.replace("department string, ", ""))
+    files = files if "checksum" in files.columns else files.withColumn("checksum", F.lit(None).cast("string"))
+    out = files.select("path", "archive_name", "content", "checksum").mapInArrow(run, _PARSED.replace("department string, ", ""))
     name = F.col("archive_name")
     dep = text.department_from_file(name) if department == "fromFile" else F.lit(department) if department else text.department(name)
     return out.withColumn("department", dep)
 
 
+def only_features(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("error").isNull() & F.col("archive").isNull())
+
+
+def only_errors(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("error").isNotNull())
+
+
 def checksum(content_column: str = "content"):
     """BLAKE3 of a binary column as hex; computed before anything is unpacked."""
 
-    @F.pandas_udf("string")
-    def run(c):
-        return c.map(lambda b: None if b is None else blake3(bytes(b)).hex())
+    @F.arrow_udf("string")
+    def run(c: pa.Array) -> pa.Array:
+        return pa.array([blake3(b.as_py()).hex() if b.is_valid else None for b in c], pa.string())
 
     return run(F.col(content_column))
 

@@ -97,10 +97,10 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     sink, check = str(tmp_path / "sink"), str(tmp_path / "check")
     run = lambda: streaming.run_available(streaming.stream_features(spark, str(folder)), check, streaming.once_per_batch(sink)).awaitTermination(120)
     run()
-    assert spark.read.parquet(sink).filter("error is null").count() == 15 and spark.read.parquet(sink).filter("error is not null").count() == 1
+    assert archives.only_features(spark.read.parquet(sink)).count() == 15 and archives.only_errors(spark.read.parquet(sink)).count() == 1
     archive(folder / "edigeo-39009000AA01.tar.bz2", 9)
     run()
-    assert spark.read.parquet(sink).filter("error is null").count() == 20
+    assert archives.only_features(spark.read.parquet(sink)).count() == 20
 
 
 def rows(spark, *r):
@@ -146,6 +146,6 @@ def test_status_and_rows_for_bulk_load(spark):
 
 
 def test_reprojection_errors_drop_the_geometry(spark, folder):
-    good = archives.parse_files(archives.read_files(spark, str(folder / "deep"))).filter("error is null")
+    good = archives.only_features(archives.parse_files(archives.read_files(spark, str(folder / "deep"))))
     assert importer.reprojected(good, 4326).filter("geom is null").count() == 0
     assert importer.reprojected(good.withColumn("epsg", F.lit(9)), 4326).filter("geom is null").count() == 15
