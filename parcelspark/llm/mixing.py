@@ -23,27 +23,30 @@ _ROW = "plan string, source string, block long, doc_id long, n_tokens long, base
 def pivotal(weight: np.ndarray, prob: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Round ``prob`` keeping sum(weight * prob); at most one entry stays fractional. Weightless entries round on their own.
 
-    In each round neighbouring fractional entries pair up, and in each pair at least one becomes 0 or 1.
+    Entries meet in falling order of weight, so a heavy one is settled against lighter ones and what stays fractional in the
+    end is light: the sum is kept to within a small document, not the largest.
     """
     p = prob.astype(float).copy()
     free = (weight <= 0) & (p > 0) & (p < 1)
     p[free] = rng.random(int(free.sum())) < p[free]
     live = np.flatnonzero((p > 0) & (p < 1))
-    while len(live) > 1:
-        n = len(live) // 2 * 2
-        i, j = live[0:n:2], live[1:n:2]
-        wi, wj, pi, pj = weight[i], weight[j], p[i], p[j]
-        up, down = np.minimum(wi * (1 - pi), wj * pj), np.minimum(wi * pi, wj * (1 - pj))
-        to_i = rng.random(len(i)) * (up + down) < down
-        move = np.where(to_i, up, -down)
-        qi, qj = pi + move / wi, pj - move / wj
-        # the one that hit its bound is set to it exactly
-        i_hits = np.where(to_i, wi * (1 - pi) <= wj * pj, wi * pi <= wj * (1 - pj))
-        j_hits = np.where(to_i, wj * pj <= wi * (1 - pi), wj * (1 - pj) <= wi * pi)
-        p[i] = np.where(i_hits, to_i, qi)
-        p[j] = np.where(j_hits, ~to_i, qj)
-        p[live] = np.where(np.abs(p[live] - np.rint(p[live])) < 1e-12, np.rint(p[live]), p[live])
-        live = live[(p[live] > 0) & (p[live] < 1)]
+    live = live[np.argsort(-weight[live], kind="stable")]
+    w, q, u = weight[live].tolist(), p[live].tolist(), rng.random(len(live)).tolist()
+    i = 0
+    for j in range(1, len(q)):
+        if not 0 < q[i] < 1:
+            i = j
+            continue
+        up_i, down_i, up_j, down_j = w[i] * (1 - q[i]), w[i] * q[i], w[j] * (1 - q[j]), w[j] * q[j]
+        up, down = min(up_i, down_j), min(down_i, up_j)
+        if u[j] * (up + down) < down:  # mass moves from j to i
+            a, b = (1.0 if up_i <= down_j else q[i] + up / w[i]), (0.0 if down_j <= up_i else q[j] - up / w[j])
+        else:
+            a, b = (0.0 if down_i <= up_j else q[i] - down / w[i]), (1.0 if up_j <= down_i else q[j] + down / w[j])
+        q[i], q[j] = (round(x) if abs(x - round(x)) < 1e-12 else x for x in (a, b))
+        if not 0 < q[i] < 1:
+            i = j
+    p[live] = q
     return p
 
 
