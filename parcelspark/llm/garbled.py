@@ -29,7 +29,7 @@ WRITTEN = ("cp1252", "iso8859-15", "cp850", "cp437", "mac_roman")
 DEPTH = 3
 LOST = "lost"
 
-_TRI, _BI, _UNI = 1 << 20, 1 << 17, 1 << 16
+_TRI, _BI, _UNI = 1 << 22, 1 << 20, 1 << 17
 
 
 def _byte_table(name: str) -> list[str]:
@@ -111,9 +111,12 @@ def repairs(text: str, codecs: Codecs, better) -> dict[str, str]:
         layer = nxt
     if _BARE.search(text):
         # lead bytes that lost their control character: the likeliest letter of the 32 that it can have been
-        u = _BARE.sub(lambda m: _fill(m, text, better), next(iter(out.values()), text))
-        if u != text and u not in out.values():
-            out["utf-8>latin-1,dropped"] = u
+        for mark, t in (("", text), (",partly", next(iter(out.values()), text))):
+            u = t
+            while m := _BARE.search(u):  # from left to right, so that the next one sees the letter found
+                u = u[: m.start()] + _fill(m, better) + u[m.end() :]
+            if u != text and u not in out.values():
+                out["utf-8>latin-1,dropped" + mark] = u
     words = re.split("( )", text)
     for chain, (table, known) in codecs.pairs.items():
         if all(ord(c) < 128 or ord(c) not in table for c in text):
@@ -126,7 +129,7 @@ def repairs(text: str, codecs: Codecs, better) -> dict[str, str]:
     return out
 
 
-def _fill(m: re.Match, text: str, better) -> str:
+def _fill(m: re.Match, better) -> str:
     base = {"Â": 0x80, "Ã": 0xC0, "Å": 0x140}[m.group(1)]
     s = m.string
     a, b = s.rfind(" ", 0, m.start()) + 1, s.find(" ", m.end())
@@ -134,20 +137,20 @@ def _fill(m: re.Match, text: str, better) -> str:
     best = None
     for k in range(32):
         c = chr(base + k)
-        if c.isalpha() and (best is None or better(head + c + tail, head + best + tail)):
+        if c.isalpha() and c not in "ÂÃÅ" and (best is None or better(head + c + tail, head + best + tail)):
             best = c
-    return best or m.group()
+    return best or ""
 
 
 # ------------------------------------------------------------------------------------------------ the model
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _codes(texts: list[str], end: str = "\x03") -> tuple[np.ndarray, np.ndarray]:
     """Hashed (tri, bi, previous, uni) bucket rows of all characters, and the text each belongs to. Digits are one symbol."""
-    joined = "".join(f"\x02\x02{t}\x03" for t in texts)
+    joined = "".join(f"\x02\x02{t}{end}" for t in texts)
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     c = np.where((c >= 48) & (c <= 57), np.uint64(48), c)
-    part = np.repeat(np.arange(len(texts)), [len(t) + 3 for t in texts])
+    part = np.repeat(np.arange(len(texts)), [len(t) + 2 + len(end) for t in texts])
     at = np.flatnonzero(c != 2)
     at = at[at >= 2]
     a, b, x = c[at - 2], c[at - 1], c[at]
@@ -170,11 +173,15 @@ class Model:
 
     counts: list[np.ndarray] = field(default_factory=lambda: [np.zeros(n, np.float32) for n in _SIZES])
 
-    def score(self, texts: list[str], own: np.ndarray | None = None) -> np.ndarray:
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-likelihoods of words, or of beginnings of words, inside a text."""
+        return self.score([f" {w}" for w in words], end="")
+
+    def score(self, texts: list[str], own: np.ndarray | None = None, end: str = "\x03") -> np.ndarray:
         """Log-likelihood of each text. ``own``: weight of the text itself in the counts, which is left out."""
         if not texts:
             return np.zeros(0)
-        g, part = _codes(texts)
+        g, part = _codes(texts, end)
         tri, ctx, bi, prev, uni = (self.counts[k][g[k]].astype(float) for k in range(5))
         if own is not None:
             o = own[part]
@@ -260,7 +267,7 @@ def _options(model):
             if w not in words:
                 if len(words) > 200_000:
                     words.clear()
-                words[w] = m.score([w])[0]
+                words[w] = m.words([w + " "])[0]
             return words[w]
 
         for b in batches:
@@ -342,9 +349,10 @@ def fill_lost(text: str, model: Model, width: int = 24) -> str:
             while "\ufffd" in beam[0]:
                 nxt = [b.replace("\ufffd", c, 1) for b in beam for c in _LETTERS]
                 # what is still unknown is cut off while prefixes are compared
-                ll = model.score([x.split("\ufffd")[0] for x in nxt])
+                after = "\x03" if k == len(words) - 1 else " "
+                ll = model.words([x.split("\ufffd")[0] if "\ufffd" in x else x + after for x in nxt])
                 beam = [nxt[i] for i in np.argsort(-ll)[:width]]
-            words[k] = beam[int(np.argmax(model.score(beam)))]
+            words[k] = beam[0]
     return " ".join(words)
 
 
