@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     i.add_argument("--precision", type=int)
     i.add_argument("--dep", help="department code, or fromFile")
     i.add_argument("--drop-table", action="store_true")
+    i.add_argument("--drop-schema", action="store_true")
     i.add_argument("--trust-stat", action="store_true", help="skip files of unchanged size and time unread")
     i.add_argument("--jobs", type=int, help="tasks that run at a time in a local session")
     i.add_argument("--report", help="write the report to this JSON file")
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "to-geojson":
         print(importer.export_geojson(spark, a.path, a.output, a.srid))
         return 0
-    r = importer.import_archives(spark, a.path, a.date, a.root, a.config, a.srid, a.precision, a.dep, a.drop_table, a.trust_stat)
+    r = importer.import_archives(spark, a.path, a.date, a.root, a.config, a.srid, a.precision, a.dep, a.drop_table, a.drop_schema, a.trust_stat)
     print(r.display())
     if a.report:
         with open(a.report, "w", encoding="utf-8") as f:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators import topology
 from .blake3 import blake3_many
 
 GEOM = "struct<kind:string,parts:array<array<array<struct<x:double,y:double>>>>>"
@@ -123,6 +124,24 @@ def bbox(geom: Column) -> Column:
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
+def made_valid(geom: Column) -> Column:
+    """Polygons and multipolygons without crossings, see ``topology.make_valid``; other kinds as they are.
+
+    Rows are handled in Python, so apply it to the rows that need it."""
+
+    @F.arrow_udf(GEOM)
+    def run(g: pa.Array) -> pa.Array:
+        out = []
+        for v in g.to_pylist():
+            if v is not None and v["kind"] in ("Polygon", "MultiPolygon"):
+                parts = topology.make_valid([[[(c["x"], c["y"]) for c in r] for r in p] for p in v["parts"]])
+                v = {"kind": "Polygon" if len(parts) == 1 else "MultiPolygon", "parts": [[[{"x": x, "y": y} for x, y in r] for r in p] for p in parts]}
+            out.append(v)
+        return pa.array(out, g.type)
+
+    return run(geom)
+
+
 # ------------------------------------------------------------------------------------------------ text forms
 
 

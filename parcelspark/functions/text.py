@@ -72,6 +72,13 @@ def reference(value: Column) -> Column:
 _FLOAT = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 
 
+def scheme_type(vec: Column, rid: Column) -> Column:
+    """Type of an object from raw VEC text: fourth part of the first SCPCP within 500 characters after its id, or null."""
+    near = vec.substr(F.position(rid, vec), F.lit(500))
+    kind = F.regexp_extract(near, r"SCPCP[^:]*:[^;\r\n]*;[^;\r\n]*;[^;\r\n]*;([^;\r\n]*)", 1)
+    return F.when((F.position(rid, vec) > 0) & (kind != ""), trim(kind))
+
+
 def coordinate(value: Column) -> Column:
     """struct<x, y> of 'x;y' with optional leading plus signs and a trailing ';', or null."""
     p = F.split(value, ";")

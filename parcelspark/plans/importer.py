@@ -105,12 +105,13 @@ def _skip_known(files: DataFrame, ledger: DataFrame | None, vintage: str, preset
 
 def import_archives(
     spark: SparkSession, path: str, date: str, root: str, config: str = "full", srid: int = 4326, digits: int | None = None,
-    dep: str | None = None, drop_table: bool = False, trust_stat: bool = False, compat: bool = False,
+    dep: str | None = None, drop_table: bool = False, drop_schema: bool = False, trust_stat: bool = False, compat: bool = False,
 ) -> Report:
     """Import the archives below ``path`` into tables under ``root`` as of the month ``date`` (yyyy-MM).
 
     Archives whose checksum is in the ledger for this vintage, configuration and SRID are skipped before they are unpacked
-    (``compat``: whatever they were imported for). With ``trust_stat`` those of unchanged size and time aren't even read. Rows
+    (``compat``: whatever they were imported for). ``drop_table`` empties the configured tables and the ledger first,
+    ``drop_schema`` all tables below ``root``; earlier versions stay readable by number. With ``trust_stat`` those of unchanged size and time aren't even read. Rows
     are committed before the ledger; an import that dies between the two is repeated and adds nothing twice.
     """
     began = time.time()
@@ -119,6 +120,10 @@ def import_archives(
     digits = projection.precision(srid) if digits is None else digits
     ledger = VersionedTable(spark, f"{root}/_ledger")
     stores = {t.name: VersionedTable(spark, f"{root}/{t.name}") for t in tables}
+    if drop_schema:
+        for name in _tables_below(spark, root):
+            s = VersionedTable(spark, f"{root}/{name}")
+            s.commit(s.version(), [])
     if drop_table:
         for s in [*stores.values(), ledger]:
             s.commit(s.version(), [])
@@ -180,6 +185,12 @@ def _store(rows: DataFrame, t: configs.Table, store: VersionedTable, day: str) -
     return sum(e.rows for e in added), (fresh.select("geometry_hash").count() if fresh is not new else None)
 
 
+def _tables_below(spark: SparkSession, root: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     return VersionedTable(spark, f"{root}/{table}").read()
 

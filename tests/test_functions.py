@@ -76,6 +76,26 @@ def test_vec_blocks():
     assert [(x.id, x.kind, x.geom["kind"], x.properties) for x in f] == [("é", "PARCELLE_id", "Point", {"IDU": "é", "TEX": "x", "createDate": "20200101"})]
 
 
+def test_scheme_type(spark):
+    vec = "RIDSA07:Objet_1\r\nSCPCP27:EDAB01;SeSD;OBJ;PARCELLE_id\r\n"
+    got = one(spark, *[text.scheme_type(F.lit(vec), F.lit(i)) for i in ("Objet_1", "Objet_2")])
+    assert tuple(got) == ("PARCELLE_id", None)
+
+
+def test_make_valid():
+    bow = [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)]
+    parts = topology.make_valid([[bow]])
+    area = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:]))) / 2
+    assert len(parts) == 2 and sum(area(p[0]) for p in parts) == 8 and all(p[0][0] == p[0][-1] for p in parts)
+    good = [[[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)]]]
+    (p,) = topology.make_valid(good)
+    assert len(p) == 2 and area(p[0]) == 81 and area(p[1]) == 0.5
+    # parts that overlap are put together by the even-odd rule
+    a, b = ([(x, 0.0), (x + 4, 0.0), (x + 4, 4.0), (x, 4.0), (x, 0.0)] for x in (0.0, 2.0))
+    assert sum(area(q[0]) for q in topology.make_valid([[a], [b]])) == 16
+    assert topology.make_valid([[[(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)]]]) == []
+
+
 SQUARE = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
 SIDES = [[SQUARE[i], SQUARE[(i + 1) % 4]] for i in range(4)]
 
@@ -150,6 +170,14 @@ def test_missing_and_invalid_geometries(spark):
         assert wkt(spark, s).select(geometry.is_valid(F.col("g"))).first()[0] is ok
 
 
+def test_made_valid_keeps_valid_areas(spark):
+    g = F.col("g")
+    for form in FORMS:
+        df = wkt(spark, form).select("g", geometry.made_valid(g).alias("v"))
+        r = df.select(geometry.area(g), geometry.area(F.col("v")), F.col("g.kind") == F.col("v.kind"), geometry.is_valid(F.col("v"))).first()
+        assert abs(r[0] - r[1]) < 1e-9 and r[2] and r[3], form
+
+
 def test_measures_and_rounding(spark):
     g = F.col("g")
     r = wkt(spark, FORMS[2]).select(geometry.area(g), geometry.vertices(g), geometry.bbox(g)).first()
