@@ -215,6 +215,10 @@ def posterior(value: str, chains: list[str], prior: dict[str, float], ll: np.nda
 # ------------------------------------------------------------------------------------------------ on tables
 
 _STAT = "part int, name string, bucket int, w double"
+#: A value counts in the model as often as it occurs, but no more than this: text that a source repeats without end is one text.
+WEIGHT = 50
+#: Log-odds for each UTF-8 sequence found in a text: written characters hardly ever happen to form one.
+SEQUENCE = 3.5
 #: Chains less likely than no damage by this factor under the first model are not kept.
 _PRUNE = 10.0
 #: How far the chains' estimated probabilities count in each iteration. At first evidence decides alone, so that a frequent
@@ -250,6 +254,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = b.column("n").to_numpy().astype(float)
         total += n.sum()
+        n = np.minimum(n, WEIGHT)
         for s in range(0, b.num_rows, 2000):
             m.add(b.column("value").slice(s, 2000).to_pylist(), n[s : s + 2000])
     yield from _emit(m, {"": total})
@@ -260,7 +265,7 @@ _OPTIONS = "value string, n long, chains array<string>, texts array<string>"
 
 def _options(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codecs, m = Codecs(), model.value
+        codecs, m = Codecs(), Model(model.value)
         words: dict[str, float] = {}
 
         def score(w: str) -> float:
@@ -279,7 +284,7 @@ def _options(model):
                 ll = m.score(texts, own)
                 rows, at = [], 0
                 for v, k, f in zip(values, n, found):
-                    part = ll[at : at + 1 + len(f)]
+                    part = ll[at : at + 1 + len(f)] + _sequences(v, list(f), list(f.values()))
                     at += 1 + len(f)
                     keep = [(c, t) for (c, t), x in zip(f.items(), part[1:]) if x > part[0] - _PRUNE or control(v)]
                     if keep or control(v) or "\ufffd" in v:
@@ -292,15 +297,20 @@ def _options(model):
     return run
 
 
+def _sequences(value: str, chains: list[str], texts: list[str]) -> np.ndarray:
+    """What the UTF-8 sequences that each option undoes are worth; the first entry is for no damage."""
+    return np.array([0.0, *(SEQUENCE * (len(value) - len(t)) if c.startswith("utf-8") else 0.0 for c, t in zip(chains, texts))])
+
+
 def _scored(b: pa.RecordBatch, m: Model) -> Iterator[tuple[str, int, list[str], list[str], np.ndarray]]:
     """Values, their options and log-likelihoods. A value's own part in the model is left out: one occurrence for the text as
     it stands, as a text that recurs is evidence for itself; all of them for its repairs, which other values must support."""
     values, ns, chains, texts = (b.column(c).to_pylist() for c in ("value", "n", "chains", "texts"))
     flat = [t for v, x in zip(values, texts) for t in (v, *x)]
-    own = np.array([o for x, n in zip(texts, ns) for o in (1.0, *[float(n)] * len(x))])
+    own = np.array([o for x, n in zip(texts, ns) for o in (1.0, *[float(min(n, WEIGHT))] * len(x))])
     ll, at = m.score(flat, own), 0
     for v, n, c, t in zip(values, ns, chains, texts):
-        yield v, n, c, t, ll[at : at + 1 + len(t)]
+        yield v, n, c, t, ll[at : at + 1 + len(t)] + _sequences(v, c, t)
         at += 1 + len(t)
 
 
@@ -308,15 +318,15 @@ def _expect(model, prior: dict[str, float], power: float):
     """One iteration: the change that the repaired texts make to the first model, and the mass of each chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        delta, mass = Model(), {}
+        m, delta, mass = Model(model.value), Model(), {}
         for whole in batches:
             for s in range(0, whole.num_rows, 1000):
                 b = whole.slice(s, 1000)
                 texts, weight = [], []
-                for v, n, c, t, ll in _scored(b, model.value):
+                for v, n, c, t, ll in _scored(b, m):
                     p = posterior(v, c, prior, ll, power)
                     texts += [v, *t]
-                    weight += [n * (p[0] - 1), *(n * p[1:])]
+                    weight += [min(n, WEIGHT) * (p[0] - 1), *(min(n, WEIGHT) * p[1:])]
                     for name, x in zip(c, p[1:]):
                         mass[name] = mass.get(name, 0.0) + n * x
                 if texts:
@@ -328,10 +338,11 @@ def _expect(model, prior: dict[str, float], power: float):
 
 def _likelihoods(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(model.value)
         for whole in batches:
             for s in range(0, whole.num_rows, 1000):
                 b = whole.slice(s, 1000)
-                ll = [x.tolist() for *_, x in _scored(b, model.value)]
+                ll = [x.tolist() for *_, x in _scored(b, m)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("value", "chains", "texts")), pa.array(ll, pa.list_(pa.float64()))], names=["value", "chains", "texts", "ll"])
 
     return run
@@ -366,7 +377,7 @@ def _decide(model, prior: dict[str, float], alpha: float):
         return out | {"": (max(0.0, rest) + alpha * above.get("", 0.0)) / (n - 1 + alpha)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = Model(model.value)
         for b in batches:
             out = []
             cols = [b.column(c).to_pylist() for c in ("value", "chains", "texts", "ll", "n_s", "m_s", "n_sf", "m_sf")]
@@ -407,18 +418,18 @@ def damaged_values(features: DataFrame, alpha: float = 20.0) -> DataFrame:
     occ = written(occurrences(features), "values")
     values = written(occ.groupBy("value").agg(F.count("*").alias("n")), "distinct")
     base, total = _gather(values.mapInArrow(_train, _STAT), Model())
-    bc = spark.sparkContext.broadcast(base)
+    bc = spark.sparkContext.broadcast(base.counts)  # arrays only: workers need no package to read them
     cores = max(2, spark.sparkContext.defaultParallelism)
     odd = values.filter(F.col("value").rlike(r"[^\x00-\x7F]")).repartition(2 * cores, "value")
     options = written(odd.mapInArrow(_options(bc), _OPTIONS), "options")
     model, prior = base, {}
     for power in TEMPER:
-        now = spark.sparkContext.broadcast(model)
+        now = spark.sparkContext.broadcast(model.counts)
         model, mass = _gather(options.mapInArrow(_expect(now, prior, power), _STAT), base)
         every = max(1.0, total.get("", 1.0))
         prior = {c: x / every for c, x in mass.items()}
         prior[""] = max(1e-6, 1 - sum(prior.values()))
-    now = spark.sparkContext.broadcast(model)
+    now = spark.sparkContext.broadcast(model.counts)
     scored = written(options.mapInArrow(_likelihoods(now), "value string, chains array<string>, texts array<string>, ll array<double>"), "scored")
     hit = written(occ.join(scored, "value"), "hits")
     by_value = scored.mapInArrow(_masses(prior), "value string, chain string, p double")
