@@ -86,7 +86,7 @@ def control(text: str) -> bool:
 
 
 #: Leads of UTF-8 whose following byte is a control character in Latin-1 and may have been dropped.
-_BARE = re.compile("([ÂÃÅ])(?![\u0080-¿‐-⁄€ŠšŽžŒœŸƒˆ˜™])")
+_BARE = re.compile("([ÃÅ])(?![\u0080-¿‐-⁄€ŠšŽžŒœŸƒˆ˜™])")
 
 
 #: A character that some wrong decoding makes of the first byte of a UTF-8 sequence.
@@ -130,16 +130,16 @@ def repairs(text: str, codecs: Codecs, better) -> dict[str, str]:
 
 
 def _fill(m: re.Match, better) -> str:
-    base = {"Â": 0x80, "Ã": 0xC0, "Å": 0x140}[m.group(1)]
+    base = {"Ã": 0xC0, "Å": 0x140}[m.group(1)]
     s = m.string
     a, b = s.rfind(" ", 0, m.start()) + 1, s.find(" ", m.end())
     head, tail = s[a : m.start()], s[m.end() : b if b >= 0 else len(s)]
     best = None
     for k in range(32):
         c = chr(base + k)
-        if c.isalpha() and c not in "ÂÃÅ" and (best is None or better(head + c + tail, head + best + tail)):
+        if c.isalpha() and c not in "ÃÅ" and (best is None or better(head + c + tail, head + best + tail)):
             best = c
-    return best or ""
+    return best
 
 
 # ------------------------------------------------------------------------------------------------ the model
@@ -182,15 +182,18 @@ class Model:
         if not texts:
             return np.zeros(0)
         g, part = _codes(texts, end)
+        return self.score_codes(g, part, len(texts), None if own is None else own[part])
+
+    def score_codes(self, g: np.ndarray, part: np.ndarray, n: int, o: np.ndarray | None) -> np.ndarray:
+        """As ``score`` for ``n`` texts by their codes; ``o``: weight left out per code."""
         tri, ctx, bi, prev, uni = (self.counts[k][g[k]].astype(float) for k in range(5))
-        if own is not None:
-            o = own[part]
+        if o is not None:
             tri, ctx, bi, prev, uni = (np.maximum(v - o, 0) for v in (tri, ctx, bi, prev, uni))
         total = float(self.counts[4].sum()) + 1
         pu = (uni + 0.1) / (total + 100)
         pb = (bi + 2 * pu) / (prev + 2)
         pt = (tri + 4 * pb) / (ctx + 4)
-        return np.bincount(part, np.log(pt), len(texts))
+        return np.bincount(part, np.log(pt), n)
 
     def add(self, texts: list[str], weight: np.ndarray) -> None:
         g, part = _codes(texts)
@@ -304,11 +307,17 @@ def _sequences(value: str, chains: list[str], texts: list[str]) -> np.ndarray:
 
 def _scored(b: pa.RecordBatch, m: Model) -> Iterator[tuple[str, int, list[str], list[str], np.ndarray]]:
     """Values, their options and log-likelihoods. A value's own part in the model is left out: one occurrence for the text as
-    it stands, as a text that recurs is evidence for itself; all of them for its repairs, which other values must support."""
+    it stands, as a text that recurs is evidence for itself; all of them for what a repair changes, which other values must
+    support."""
     values, ns, chains, texts = (b.column(c).to_pylist() for c in ("value", "n", "chains", "texts"))
     flat = [t for v, x in zip(values, texts) for t in (v, *x)]
     own = np.array([o for x, n in zip(texts, ns) for o in (1.0, *[float(min(n, WEIGHT))] * len(x))])
-    ll, at = m.score(flat, own), 0
+    of = np.repeat(np.arange(len(values)), [1 + len(x) for x in texts])
+    g, part = _codes(flat)
+    # what a repair leaves as it is counts alike for both
+    key = of[part] * _TRI + g[0]
+    stands = np.append(True, of[1:] != of[:-1])[part]
+    ll, at = m.score_codes(g, part, len(flat), np.where(np.isin(key, key[stands]), 1.0, own[part])), 0
     for v, n, c, t in zip(values, ns, chains, texts):
         yield v, n, c, t, ll[at : at + 1 + len(t)] + _sequences(v, c, t)
         at += 1 + len(t)
