@@ -173,6 +173,17 @@ class Model:
 
     counts: list[np.ndarray] = field(default_factory=lambda: [np.zeros(n, np.float32) for n in _SIZES])
 
+    def packed(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The counts that aren't zero, as plain arrays: what is broadcast is as small as the alphabet's trigrams are few."""
+        return [(at := np.flatnonzero(c).astype(np.uint32), c[at]) for c in self.counts]
+
+    @classmethod
+    def of(cls, packed: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+        m = cls()
+        for c, (at, v) in zip(m.counts, packed):
+            c[at] = v
+        return m
+
     def words(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods of words, or of beginnings of words, inside a text."""
         return self.score([f" {w}" for w in words], end="")
@@ -268,7 +279,7 @@ _OPTIONS = "value string, n long, chains array<string>, texts array<string>"
 
 def _options(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codecs, m = Codecs(), Model(model.value)
+        codecs, m = Codecs(), Model.of(model.value)
         words: dict[str, float] = {}
 
         def score(w: str) -> float:
@@ -327,7 +338,7 @@ def _expect(model, prior: dict[str, float], power: float):
     """One iteration: the change that the repaired texts make to the first model, and the mass of each chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, delta, mass = Model(model.value), Model(), {}
+        m, delta, mass = Model.of(model.value), Model(), {}
         for whole in batches:
             for s in range(0, whole.num_rows, 1000):
                 b = whole.slice(s, 1000)
@@ -347,7 +358,7 @@ def _expect(model, prior: dict[str, float], power: float):
 
 def _likelihoods(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model.value)
+        m = Model.of(model.value)
         for whole in batches:
             for s in range(0, whole.num_rows, 1000):
                 b = whole.slice(s, 1000)
@@ -386,7 +397,7 @@ def _decide(model, prior: dict[str, float], alpha: float):
         return out | {"": (max(0.0, rest) + alpha * above.get("", 0.0)) / (n - 1 + alpha)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model.value)
+        m = Model.of(model.value)
         for b in batches:
             out = []
             cols = [b.column(c).to_pylist() for c in ("value", "chains", "texts", "ll", "n_s", "m_s", "n_sf", "m_sf")]
@@ -427,18 +438,19 @@ def damaged_values(features: DataFrame, alpha: float = 20.0) -> DataFrame:
     occ = written(occurrences(features), "values")
     values = written(occ.groupBy("value").agg(F.count("*").alias("n")), "distinct")
     base, total = _gather(values.mapInArrow(_train, _STAT), Model())
-    bc = spark.sparkContext.broadcast(base.counts)  # arrays only: workers need no package to read them
+    bc = spark.sparkContext.broadcast(base.packed())
     cores = max(2, spark.sparkContext.defaultParallelism)
     odd = values.filter(F.col("value").rlike(r"[^\x00-\x7F]")).repartition(2 * cores, "value")
     options = written(odd.mapInArrow(_options(bc), _OPTIONS), "options")
     model, prior = base, {}
     for power in TEMPER:
-        now = spark.sparkContext.broadcast(model.counts)
+        now = spark.sparkContext.broadcast(model.packed())
         model, mass = _gather(options.mapInArrow(_expect(now, prior, power), _STAT), base)
+        now.destroy()
         every = max(1.0, total.get("", 1.0))
         prior = {c: x / every for c, x in mass.items()}
         prior[""] = max(1e-6, 1 - sum(prior.values()))
-    now = spark.sparkContext.broadcast(model.counts)
+    now = spark.sparkContext.broadcast(model.packed())
     scored = written(options.mapInArrow(_likelihoods(now), "value string, chains array<string>, texts array<string>, ll array<double>"), "scored")
     hit = written(occ.join(scored, "value"), "hits")
     by_value = scored.mapInArrow(_masses(prior), "value string, chain string, p double")
