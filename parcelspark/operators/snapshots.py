@@ -7,6 +7,7 @@ entity has at most one row per vintage.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table_path, written
+from ..session import written
 
 #: Day number that stands for "there is none".
 NONE = 2**31 - 1
@@ -211,7 +212,8 @@ class SnapshotIndex:
     """A stored, bucketed index key -> hash of the last snapshot, for deliveries that arrive one at a time.
 
     ``advance`` compares a new snapshot with the index, fetches old values only for keys that changed or went, writes the new
-    index beside the old one and swaps by a single rename of a pointer. A run that dies before the swap changes nothing.
+    index beside the old one and swaps by renaming a pointer of the next number into place: at any time one index is in force,
+    and a run that dies before the swap changes nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], hash_col: str, buckets: int = 64):
@@ -219,11 +221,17 @@ class SnapshotIndex:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[str]:
+        root = self._path(self.root)
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(n for n in names if n.startswith("CURRENT-"))
+
     def _current(self) -> str | None:
-        p = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(p):
+        """Path of the index in force: the pointer of the highest number."""
+        names = self._pointers()
+        if not names:
             return None
-        s = self._fs.open(p)
+        s = self._fs.open(self._path(f"{self.root}/{names[-1]}"))
         try:
             return bytes(s.readAllBytes()).decode()
         finally:
@@ -242,9 +250,9 @@ class SnapshotIndex:
         One row per key is expected in ``snapshot``. The first snapshot is all ``added``.
         """
         new = snapshot.select(*self.keys, F.col(self.hash).alias("_new"), F.lit(True).alias("_n"), self._bucket())
-        at = table_path(self.spark, "index") if not self.root else f"{self.root}/index-{self.spark.sparkContext.startTime}-{id(new)}"
+        at = f"{self.root}/index-{uuid.uuid4().hex}"
         old = self.index()
-        snapshot.select(*self.keys, F.col(self.hash), self._bucket()).repartition(self.buckets, "_bucket").sortWithinPartitions(*self.keys).write.mode("overwrite").parquet(at)
+        snapshot.select(*self.keys, F.col(self.hash), self._bucket()).repartition(self.buckets, "_bucket").sortWithinPartitions(*self.keys).write.parquet(at)
         if old is None:
             changes = new.select(*self.keys, F.lit("added").alias("change"))
         else:
@@ -252,14 +260,14 @@ class SnapshotIndex:
             kind = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
             changes = new.join(old, ["_bucket", *self.keys], "full").withColumn("change", kind).filter(F.col("change").isNotNull()).select(*self.keys, "change")
         changes = written(changes, "changes")
-        tmp = self._path(f"{self.root}/_CURRENT-{id(new)}")
+        names = self._pointers()
+        number = int(names[-1].split("-")[1]) + 1 if names else 1
+        tmp = self._path(f"{self.root}/_{uuid.uuid4().hex}")
         out = self._fs.create(tmp, True)
         out.write(bytearray(at.encode()))
         out.close()
-        here = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(here):
-            self._fs.delete(here, False)
-        self._fs.rename(tmp, here)
+        if not self._fs.rename(tmp, self._path(f"{self.root}/CURRENT-{number:012d}")):
+            raise RuntimeError(f"index {number} was swapped in by another run")
         if old_values is None:
             return changes
         touched = changes.filter(F.col("change") != "added")
