@@ -171,7 +171,7 @@ _SIZES = (_TRI, _BI, _BI, _UNI, _UNI)
 class Model:
     """Weighted counts of hashed trigrams, their contexts, bigrams, their contexts and single characters."""
 
-    counts: list[np.ndarray] = field(default_factory=lambda: [np.zeros(n, np.float32) for n in _SIZES])
+    counts: list[np.ndarray] = field(default_factory=lambda: [np.zeros(n) for n in _SIZES])
 
     def packed(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """The counts that aren't zero, as plain arrays: what is broadcast is as small as the alphabet's trigrams are few."""
@@ -196,10 +196,11 @@ class Model:
         return self.score_codes(g, part, len(texts), None if own is None else own[part])
 
     def score_codes(self, g: np.ndarray, part: np.ndarray, n: int, o: np.ndarray | None) -> np.ndarray:
-        """As ``score`` for ``n`` texts by their codes; ``o``: weight left out per code."""
-        tri, ctx, bi, prev, uni = (self.counts[k][g[k]].astype(float) for k in range(5))
+        """As ``score`` for ``n`` texts by their codes; ``o``: weight left out per code, or per bucket row and code."""
+        tri, ctx, bi, prev, uni = (self.counts[k][g[k]] for k in range(5))
         if o is not None:
-            tri, ctx, bi, prev, uni = (np.maximum(v - o, 0) for v in (tri, ctx, bi, prev, uni))
+            # sums of doubles in another order: what is left of nothing is no evidence
+            tri, ctx, bi, prev, uni = (np.where(v - x > 1e-9 * v, v - x, 0.0) for v, x in zip((tri, ctx, bi, prev, uni), np.broadcast_to(o, g.shape)))
         total = float(self.counts[4].sum()) + 1
         pu = (uni + 0.1) / (total + 100)
         pb = (bi + 2 * pu) / (prev + 2)
@@ -210,7 +211,7 @@ class Model:
         g, part = _codes(texts)
         w = weight[part]
         for k, n in enumerate(_SIZES):
-            self.counts[k] += np.bincount(g[k], w, n).astype(np.float32)
+            self.counts[k] += np.bincount(g[k], w, n)
 
 
 def posterior(value: str, chains: list[str], prior: dict[str, float], ll: np.ndarray, power: float = 1.0) -> np.ndarray:
@@ -229,8 +230,6 @@ def posterior(value: str, chains: list[str], prior: dict[str, float], ll: np.nda
 # ------------------------------------------------------------------------------------------------ on tables
 
 _STAT = "part int, name string, bucket int, w double"
-#: A value counts in the model as often as it occurs, but no more than this: text that a source repeats without end is one text.
-WEIGHT = 50
 #: Log-odds for each UTF-8 sequence found in a text: written characters hardly ever happen to form one.
 SEQUENCE = 3.5
 #: Chains less likely than no damage by this factor under the first model are not kept.
@@ -256,7 +255,7 @@ def _gather(stats: DataFrame, base: Model) -> tuple[Model, dict[str, float]]:
     part, bucket, w = (t[c].to_numpy() for c in ("part", "bucket", "w"))
     m = Model([c.copy() for c in base.counts])
     for k in range(len(_SIZES)):
-        m.counts[k][bucket[part == k]] += w[part == k].astype(np.float32)
+        m.counts[k][bucket[part == k]] += w[part == k]
         np.maximum(m.counts[k], 0, out=m.counts[k])
     names = t["name"].to_pylist()
     return m, {names[i]: float(w[i]) for i in np.flatnonzero(part == -1)}
@@ -268,13 +267,14 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = b.column("n").to_numpy().astype(float)
         total += n.sum()
-        n = np.minimum(n, WEIGHT)
         for s in range(0, b.num_rows, 2000):
             m.add(b.column("value").slice(s, 2000).to_pylist(), n[s : s + 2000])
     yield from _emit(m, {"": total})
 
 
 _OPTIONS = "value string, n long, chains array<string>, texts array<string>"
+#: Options with the probabilities, of no damage first, by which they count in the model; null before the first iteration.
+_STATE = _OPTIONS + ", p array<double>"
 
 
 def _options(model):
@@ -316,46 +316,61 @@ def _sequences(value: str, chains: list[str], texts: list[str]) -> np.ndarray:
     return np.array([0.0, *(SEQUENCE * (len(value) - len(t)) if c.startswith("utf-8") else 0.0 for c, t in zip(chains, texts))])
 
 
+def _left_out(g: np.ndarray, of: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """What the texts of value ``of``, each counting by ``weight``, add to the bucket of each code: per bucket row and code."""
+    out = np.empty(g.shape)
+    for k in range(len(g)):
+        _, at = np.unique(of * _TRI + g[k], return_inverse=True)
+        out[k] = np.bincount(at, weight)[at]
+    return out
+
+
 def _scored(b: pa.RecordBatch, m: Model) -> Iterator[tuple[str, int, list[str], list[str], np.ndarray]]:
-    """Values, their options and log-likelihoods. A value's own part in the model is left out: one occurrence for the text as
-    it stands, as a text that recurs is evidence for itself; all of them for what a repair changes, which other values must
+    """Values, their options and log-likelihoods. A value's own part in the model is left out: one whole occurrence of the text
+    as it stands, as a text that recurs is evidence for itself; exactly what it added to its repairs, which other values must
     support."""
-    values, ns, chains, texts = (b.column(c).to_pylist() for c in ("value", "n", "chains", "texts"))
+    values, ns, chains, texts, ps = (b.column(c).to_pylist() for c in ("value", "n", "chains", "texts", "p"))
     flat = [t for v, x in zip(values, texts) for t in (v, *x)]
-    own = np.array([o for x, n in zip(texts, ns) for o in (1.0, *[float(min(n, WEIGHT))] * len(x))])
+    weight = np.array([w for x, n, p in zip(texts, ns, ps) for w in (1, *((n * q for q in p[1:]) if p else [0] * len(x)))], float)
     of = np.repeat(np.arange(len(values)), [1 + len(x) for x in texts])
     g, part = _codes(flat)
-    # what a repair leaves as it is counts alike for both
-    key = of[part] * _TRI + g[0]
-    stands = np.append(True, of[1:] != of[:-1])[part]
-    ll, at = m.score_codes(g, part, len(flat), np.where(np.isin(key, key[stands]), 1.0, own[part])), 0
+    ll, at = m.score_codes(g, part, len(flat), _left_out(g, of[part], weight[part])), 0
     for v, n, c, t in zip(values, ns, chains, texts):
         yield v, n, c, t, ll[at : at + 1 + len(t)] + _sequences(v, c, t)
         at += 1 + len(t)
 
 
 def _expect(model, prior: dict[str, float], power: float):
-    """One iteration: the change that the repaired texts make to the first model, and the mass of each chain."""
+    """The E step: the options with their probabilities under the model, and the prior."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, delta, mass = Model.of(model.value), Model(), {}
+        m = Model.of(model.value)
         for whole in batches:
             for s in range(0, whole.num_rows, 1000):
                 b = whole.slice(s, 1000)
-                texts, weight = [], []
-                for v, n, c, t, ll in _scored(b, m):
-                    p = posterior(v, c, prior, ll, power)
-                    texts += [v, *t]
-                    weight += [min(n, WEIGHT) * (p[0] - 1), *(min(n, WEIGHT) * p[1:])]
-                    for name, x in zip(c, p[1:]):
-                        mass[name] = mass.get(name, 0.0) + n * x
-                if texts:
-                    delta.add(texts, np.array(weight))
-        yield from _emit(delta, mass)
+                p = [posterior(v, c, prior, ll, power).tolist() for v, _, c, _, ll in _scored(b, m)]
+                names = ["value", "n", "chains", "texts"]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p, pa.list_(pa.float64()))], names=[*names, "p"])
 
     return run
 
 
+def _maximise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The M step: the change that the repaired texts make to the first model, and the mass of each chain."""
+    delta, mass = Model(), {}
+    for whole in batches:
+        for s in range(0, whole.num_rows, 1000):
+            texts, weight = [], []
+            for v, n, c, t, p in zip(*(whole.column(x).slice(s, 1000).to_pylist() for x in ("value", "n", "chains", "texts", "p"))):
+                texts += [v, *t]
+                weight += [n * (p[0] - 1), *(n * x for x in p[1:])]
+                for name, x in zip(c, p[1:]):
+                    mass[name] = mass.get(name, 0.0) + n * x
+            if texts:
+                delta.add(texts, np.array(weight))
+    yield from _emit(delta, mass)
+
+
 def _likelihoods(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.of(model.value)
@@ -441,11 +456,12 @@ def damaged_values(features: DataFrame, alpha: float = 20.0) -> DataFrame:
     bc = spark.sparkContext.broadcast(base.packed())
     cores = max(2, spark.sparkContext.defaultParallelism)
     odd = values.filter(F.col("value").rlike(r"[^\x00-\x7F]")).repartition(2 * cores, "value")
-    options = written(odd.mapInArrow(_options(bc), _OPTIONS), "options")
+    options = written(odd.mapInArrow(_options(bc), _OPTIONS), "options").withColumn("p", F.lit(None).cast("array<double>"))
     model, prior = base, {}
     for power in TEMPER:
         now = spark.sparkContext.broadcast(model.packed())
-        model, mass = _gather(options.mapInArrow(_expect(now, prior, power), _STAT), base)
+        options = written(options.mapInArrow(_expect(now, prior, power), _STATE), "options")
+        model, mass = _gather(options.mapInArrow(_maximise, _STAT), base)
         now.destroy()
         every = max(1.0, total.get("", 1.0))
         prior = {c: x / every for c, x in mass.items()}

@@ -196,3 +196,13 @@ def test_found_and_repaired(spark):
     right = [k for k in truth.keys() & got.keys() if truth[k] is not None and got[k].written == truth[k]]
     assert len(right) >= 0.93 * sum(v is not None for v in truth.values())
     assert garbled.damaged_values(df.limit(0)).count() == 0
+
+
+def test_often_damaged_value_is_found(spark):
+    """60 damaged copies of a text whose 1500 right copies are the only support of its letters."""
+    right = "Mûrêtôle fîgée"
+    wrong = damage(right, "cp850", "cp1252")
+    texts = [right] * 1500 + [wrong] * 60 + [f"{WORDS[k % len(WORDS)]} {WORDS[k * 7 % len(WORDS)]}" for k in range(3000)]
+    df = spark.createDataFrame([(f"A{k % 50}", 0, f"O_{k}", "X_id", {"TEX": t}) for k, t in enumerate(texts)], "archive_name string, vec_seq int, feature_id string, feature_type string, properties map<string,string>")
+    got = garbled.found(garbled.damaged_values(df)).collect()
+    assert {(r.value, r.written) for r in got} == {(wrong, right)} and len(got) == 60
