@@ -294,7 +294,8 @@ def _options(model):
                 values, n = b.column("value").slice(s, 500).to_pylist(), b.column("n").slice(s, 500).to_pylist()
                 found = [repairs(v, codecs, lambda x, y: score(x) > score(y)) for v in values]
                 texts = [t for v, f in zip(values, found) for t in (v, *f.values())]
-                own = np.array([o for f in found for o in (1.0, *[0.0] * len(f))])
+                # all copies of the text as it stands: however many there are, they drop no chain
+                own = np.array([o for k, f in zip(n, found) for o in (float(k), *[0.0] * len(f))])
                 ll = m.score(texts, own)
                 rows, at = [], 0
                 for v, k, f in zip(values, n, found):

@@ -2,6 +2,7 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -206,3 +207,13 @@ def test_often_damaged_value_is_found(spark):
     df = spark.createDataFrame([(f"A{k % 50}", 0, f"O_{k}", "X_id", {"TEX": t}) for k, t in enumerate(texts)], "archive_name string, vec_seq int, feature_id string, feature_type string, properties map<string,string>")
     got = garbled.found(garbled.damaged_values(df)).collect()
     assert {(r.value, r.written) for r in got} == {(wrong, right)} and len(got) == 60
+
+
+def test_copies_of_a_damaged_value_drop_no_chain():
+    right = "Mur d'Noçeonillé"
+    wrong = damage(right, "cp850", "cp1252")
+    m = garbled.Model()
+    m.add([wrong, *WORDS], np.array([400.0] + [1.0] * len(WORDS)))
+    batch = pa.RecordBatch.from_pydict({"value": [wrong], "n": [400]})
+    rows = [r for b in garbled._options(type("Sent", (), {"value": m.packed()}))(iter([batch])) for r in b.to_pylist()]
+    assert rows and right in rows[0]["texts"]
