@@ -60,13 +60,23 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_pairs(spans.shared_blocks(table(spark, d, "documents"), spans.Params()))
+    return spans.shared_pairs(spans.parsed(table(spark, d, "documents")))
 
 
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return spans.shared_lengths(docs, spans.shared_blocks(docs, spans.Params()))
+    return spans.shared_lengths(docs, spans.parsed(docs))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p2_sources, p8_found, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_shared)}
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Membership of documents in classes of a span in common, without pairs."""
+    return spans.class_report(spans.parsed(table(spark, d, "documents")))
+
+
+def p10_factors(spark: SparkSession, d: str) -> DataFrame:
+    """The factors of each document with their sources."""
+    return spans.factors(spans.parsed(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p2_sources, p8_found, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_shared, p10_classes, p10_factors)}
 ORACLE: dict[str, str] = {}

@@ -121,15 +121,33 @@ def text_set(seed):
 
 
 def test_spans_against_brute_force(spark):
-    for seed in range(3):
+    for seed, p in enumerate((spans.Params(20, 12), spans.Params(20, 20), spans.Params(20, 1))):
         texts = text_set(seed)
         df = docs(spark, [(i, t, "s", 0, 0, "") for i, t in texts.items()]).repartition(4)
         pairs, cover = brute_spans(texts, 20)
-        for p in (spans.Params(20, 12, 64), spans.Params(20, 12, 2), spans.Params(20, 20, 4), spans.Params(20, 1, 8)):
-            around = spans.shared_blocks(df, p)
-            assert {tuple(r) for r in spans.shared_pairs(around, p).collect()} == pairs, (seed, p)
-            got = spans.shared_lengths(df, around, p).collect()
-            assert {r.doc_id: r.shared_chars for r in got if r.shared_chars} == cover and len(got) == len(texts), (seed, p)
+        index = spans.parsed(df, p)
+        assert {tuple(r) for r in spans.shared_pairs(index).collect()} == pairs, (seed, p)
+        got = spans.shared_lengths(df, index).collect()
+        assert {r.doc_id: r.shared_chars for r in got if r.shared_chars} == cover and len(got) == len(texts), (seed, p)
+        classes = {}
+        for r in spans.class_report(index).collect():
+            classes.setdefault(r["class"], []).append(r)
+        assert {(a.doc_id, b.doc_id) for c in classes.values() for a in c for b in c if a.doc_id < b.doc_id} == pairs
+        assert all(r.documents == len(c) and r.first_doc == min(x.doc_id for x in c) for c in classes.values() for r in c)
+        for f in spans.factors(index).collect():
+            assert f.source != f.doc_id and f.hi - f.lo >= 20 and texts[f.doc_id][f.lo : f.hi] == texts[f.source][f.source_lo : f.source_lo + f.hi - f.lo]
+
+
+def test_a_copied_document_is_one_factor(spark):
+    rng = random.Random(8)
+    a = "".join(rng.choice(string.ascii_letters) for _ in range(4000))
+    df = docs(spark, [(1, a, "s", 0, 0, ""), (2, "x" * 50 + a, "s", 0, 0, ""), (3, a[:900] + a[2000:], "s", 0, 0, ""), (4, a, "s", 0, 0, ""), (4, "another text of the same number " * 20, "s", 0, 0, "")])
+    index = spans.parsed(df)
+    got = sorted(tuple(r) for r in spans.factors(index).collect())
+    whole = [x for x in got if x[0] in (1, 4)]
+    assert [x[:3] for x in whole] == [(1, 0, 4000), (4, 0, 4000)] and whole[1][3:] == (1, 0)
+    assert [x[0] for x in got].count(3) == 2
+    assert {tuple(r) for r in spans.shared_pairs(index).collect()} == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
 
 
 def test_long_texts_are_cut_without_loss(spark, monkeypatch):
@@ -139,13 +157,24 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     texts = {1: a, 2: "q" * 777 + a[1234:1274] + "w" * 500, 3: a[3000:3039] + "!", 4: None}
     p = spans.Params(40, 24)
     df = docs(spark, [(i, t, "s", 0, 0, "") for i, t in texts.items()])
-    assert {tuple(r) for r in spans.shared_pairs(spans.shared_blocks(df, p), p).collect()} == {(1, 2)}
+    assert {tuple(r) for r in spans.shared_pairs(spans.parsed(df, p)).collect()} == {(1, 2)}
+
+
+def test_periodic_texts_are_few_rows(spark):
+    """A long line of dashes in many documents, each with its own text around."""
+    df = spark.range(100, 400).select(F.col("id").alias("doc_id"), F.concat(F.expr("repeat(cast(id as string) || ' ', 100)"), F.repeat(F.lit("-"), 100_000), F.expr("repeat(' ' || cast(id as string), 100)")).alias("text")).repartition(8)
+    index = spans.parsed(df)
+    assert index.occurrences.count() < 300_000
+    classes = spans.document_classes(index).collect()
+    assert len(classes) == 300 and len({(c.c1, c.c2) for c in classes}) == 1
+    got = spans.shared_lengths(df, index).agg(F.min("shared_chars"), F.max("shared_chars")).first()
+    assert got[0] >= 100_000 and got[1] < 100_010
 
 
 def test_no_documents(spark):
-    p = spans.Params()
     df = docs(spark, [])
-    assert spans.shared_pairs(spans.shared_blocks(df, p), p).count() == 0 and spans.shared_lengths(df, spans.shared_blocks(df, p), p).count() == 0
+    index = spans.parsed(df)
+    assert spans.shared_pairs(index).count() == 0 and spans.shared_lengths(df, index).count() == 0 and spans.class_report(index).count() == 0
 
 
 # ------------------------------------------------------------------------------------------------ 2
