@@ -42,12 +42,15 @@ class Params:
     span: int = 200
     block: int = 64
 
+    @property
+    def half(self) -> int:
+        return (self.span - self.block) // 2
+
 
 @dataclass
 class Index:
     """``occurrences`` (h, ctx, doc_id, lo, n, hi): regions whose block other documents have, ``n`` windows each.
-    ``references`` (h, ctx, docs, a, b, edge): distinct regions, least and greatest (document, place); ``edge``: the block has
-    other regions too. ``windows`` (k1, k2, h, ctx, j_lo, j_hi): windows of such regions that are in more than one of them."""
+    ``references`` (h, ctx, a, b, n, l, r): distinct regions, with the least and the greatest (document, place). ``windows`` (k1, k2, h, ctx, j_lo, j_hi): windows of such regions that are in more than one of them."""
 
     params: Params
     occurrences: DataFrame
@@ -97,7 +100,10 @@ class Selector:
         self.hasher = Hasher(_CHUNK + p.span)
 
     def select(self, texts: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-        """(index of text, h, ctx, lo, n, hi) of regions. Short texts share a chunk, long ones are cut with overlap."""
+        """(index of text, h, ctx, lo, n, hi, l, r) of regions. Short texts share a chunk, long ones are cut with overlap.
+
+        ``l`` and ``r``: hashes of the block with half of what a window has beside it, to the left and to the right; 0 where the
+        region has no window that reaches so far. Two regions with a window in common have one of the two in common."""
         group: list[tuple[int, int, str]] = []
         size = 0
         step = _CHUNK - self.p.span + 1
@@ -137,16 +143,19 @@ class Selector:
         a = np.flatnonzero(new)
         lo, n, x = start[a], np.diff(np.append(a, len(x))), x[a]
         hi = lo + n - 1 + p.span
-        ctx = self.hasher.of(self.hasher.sums(codes, 1), 1, lo, hi) + (x - lo).astype(np.uint64) * np.uint64(_BASES[0])
+        sums = self.hasher.sums(codes, 1)
+        half, rest = p.half, p.span - p.block - p.half
+        l, r = (np.where(b - a == k + p.block, self.hasher.of(sums, 1, a, b) | np.uint64(1), np.uint64(0)) for a, b, k in ((np.maximum(lo, x - half), x + p.block, half), (x, np.minimum(hi, x + p.block + rest), rest)))
+        ctx = self.hasher.of(sums, 1, lo, hi) + (x - lo).astype(np.uint64) * np.uint64(_BASES[0])
         g, hx = part[lo], h[x]
         # neighbours of a periodic text that are the same region again
         same = np.zeros(len(lo), bool)
         same[1:] = (g[1:] == g[:-1]) & (hx[1:] == hx[:-1]) & (ctx[1:] == ctx[:-1]) & (lo[1:] <= lo[:-1] + w)
         first = np.flatnonzero(~same)
         hi = hi[np.append(first[1:], len(lo)) - 1] if len(lo) else hi
-        lo, n, hx, ctx, g = lo[first], n[first], hx[first], ctx[first], g[first]
+        lo, n, hx, ctx, g, l, r = (v[first] for v in (lo, n, hx, ctx, g, l, r))
         off = np.array([y[1] for y in group])[g] - (np.cumsum(length) - length)[g]
-        return np.array([y[0] for y in group])[g], hx, ctx, lo + off, n, hi + off
+        return np.array([y[0] for y in group])[g], hx, ctx, lo + off, n, hi + off, l, r
 
 
 def _regions(p: Params, wanted: bool):
@@ -157,17 +166,17 @@ def _regions(p: Params, wanted: bool):
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             hs = [np.unique(np.array(x, np.int64)) for x in b.column("hs").to_pylist()] if wanted else None
-            for i, h, ctx, lo, n, hi in sel.select(texts):
-                h, ctx = h.view(np.int64), ctx.view(np.int64)
+            for i, h, ctx, lo, n, hi, l, r in sel.select(texts):
+                h, ctx, l, r = (v.view(np.int64) for v in (h, ctx, l, r))
                 if wanted:
                     ok = np.zeros(len(i), bool)
                     for k in np.unique(i):
                         s, e = np.searchsorted(i, [k, k + 1])
                         ok[s:e] = np.isin(h[s:e], hs[k])
-                    i, h, ctx, lo, n, hi = (v[ok] for v in (i, h, ctx, lo, n, hi))
+                    i, h, ctx, lo, n, hi, l, r = (v[ok] for v in (i, h, ctx, lo, n, hi, l, r))
                 ints = [pa.array(v, pa.int32()) for v in (lo, n, hi)]
                 if wanted:
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), ids.take(pa.array(i)), *ints], names=["h", "ctx", "doc_id", "lo", "n", "hi"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), ids.take(pa.array(i)), *ints, pa.array(l), pa.array(r)], names=["h", "ctx", "doc_id", "lo", "n", "hi", "l", "r"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(pa.array(i))], names=["h", "doc_id"])
 
@@ -197,13 +206,13 @@ def _asked(texts: DataFrame, per_doc: DataFrame) -> DataFrame:
 
 
 def _windows(p: Params):
-    """(k1, k2, h, ctx, j, a, b): every window of the regions in the list ``at``."""
+    """(k1, k2, h, ctx, j, a, b): windows of the regions in the list ``at`` that reach as far as what they have in common with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(_CHUNK + 2 * p.span)
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            text, h, ctx, n, a, b = zip(*rows)
+            text, h, ctx, n, a, b, left, right = zip(*rows)
             length, n = np.array([len(t) for t in text]), np.array(n)
             codes = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32)
             row = np.repeat(np.arange(len(n)), n)
@@ -216,6 +225,8 @@ def _windows(p: Params):
             end = np.cumsum(length)
             off = (np.array(ctx, np.int64).view(np.uint64) - hasher.of(hasher.sums(codes, 1), 1, end - length, end)) * np.uint64(pow(_BASES[0], -1, 1 << 64))
             ok = ((off < p.span) & (length == n + p.span - 1))[row]
+            t = np.where(ok, off[row].astype(np.int64) - j, 0)
+            ok &= (np.array(left)[row] & (t >= p.half)) | (np.array(right)[row] & (t <= p.half))
             k1, k2, cols = k1[ok], k2[ok], [c[ok] for c in cols]
             return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), *map(pa.array, cols)], names=["k1", "k2", "h", "ctx", "j", "a", "b"])
 
@@ -229,7 +240,7 @@ def _windows(p: Params):
                     if rows and size + len(piece) > _CHUNK:
                         yield flush(rows)
                         rows, size = [], 0
-                    rows.append((piece, r["h"], r["ctx"], r["n"], r["a"], r["b"]))
+                    rows.append((piece, r["h"], r["ctx"], r["n"], r["a"], r["b"], r["left"], r["right"]))
                     size += len(piece)
             if rows:
                 yield flush(rows)
@@ -246,13 +257,15 @@ def parsed(documents: DataFrame, p: Params = Params()) -> Index:
     blocks = written(texts.mapInArrow(_regions(p, False), "h long, doc_id long"), "blocks")
     many = blocks.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter(F.col("a") < F.col("b")).select("h")
     per = written(blocks.join(many, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hs")), "asked")  # as many as a text has
-    occ = written(_asked(texts, per).mapInArrow(_regions(p, True), "h long, ctx long, doc_id long, lo int, n int, hi int"), "regions")
+    occ = written(_asked(texts, per).mapInArrow(_regions(p, True), "h long, ctx long, doc_id long, lo int, n int, hi int, l long, r long"), "regions")
     place = F.struct("doc_id", "lo", "hi")
-    refs = occ.groupBy("h", "ctx").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("n").alias("n"))
-    other = refs.groupBy("h").agg(F.min("ctx").alias("_lo"), F.max("ctx").alias("_hi"))
-    refs = written(refs.join(other, "h").withColumn("edge", F.col("_lo") != F.col("_hi")).drop("_lo", "_hi"), "references")
-    at = F.struct("h", "ctx", F.col("a.lo").alias("lo"), "n", F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
-    asked = refs.filter("edge").groupBy(F.col("a.doc_id").alias("doc_id")).agg(F.collect_list(at).alias("at"))  # regions of one text
+    refs = occ.groupBy("h", "ctx").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("n").alias("n"), F.max("l").alias("l"), F.max("r").alias("r"))
+    refs = written(refs, "references")
+    both = refs.select("h", "ctx", "a", "b", "n", "l", "r", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("l").alias("k")), F.struct(F.lit(False).alias("left"), F.col("r").alias("k")))).alias("s")).filter("s.k <> 0")
+    other = both.groupBy("h", "s").agg(F.min("ctx").alias("_c"), F.max("ctx").alias("_d"), F.min("a.doc_id").alias("_a"), F.max("b.doc_id").alias("_b")).filter("_c < _d and _a < _b").select("h", "s")
+    edge = both.join(other, ["h", "s"], "left_semi").groupBy("h", "ctx").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("n").alias("n"), F.bool_or("s.left").alias("left"), F.bool_or(~F.col("s.left")).alias("right"))
+    at = F.struct("h", "ctx", F.col("a.lo").alias("lo"), "n", F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), "left", "right")
+    asked = edge.groupBy(F.col("a.doc_id").alias("doc_id")).agg(F.collect_list(at).alias("at"))  # regions of one text
     rows = _asked(texts, written(asked, "asked")).mapInArrow(_windows(p), "k1 long, k2 long, h long, ctx long, j int, a long, b long")
     keyed = written(rows.groupBy("k1", "k2", "h", "ctx").agg(F.min("j").alias("j_lo"), F.max("j").alias("j_hi"), F.min("a").alias("a"), F.max("b").alias("b")), "windows")
     shared = keyed.groupBy("k1", "k2").agg(F.min("ctx").alias("c"), F.max("ctx").alias("d"), F.min("a").alias("a"), F.max("b").alias("b"))

@@ -1,5 +1,6 @@
 import random
 import string
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +167,7 @@ def test_periodic_texts_are_few_rows(spark):
     index = spans.parsed(df)
     assert index.occurrences.count() < 300_000
     classes = spans.document_classes(index).collect()
-    assert len(classes) == 300 and len({(c.c1, c.c2) for c in classes}) == 1
+    assert max(Counter((c.c1, c.c2) for c in classes).values()) == 300 and len(classes) < 300 * 10  # those that begin alike are classes too
     got = spans.shared_lengths(df, index).agg(F.min("shared_chars"), F.max("shared_chars")).first()
     assert got[0] >= 100_000 and got[1] < 100_010
 
