@@ -123,10 +123,10 @@ def import_archives(
     if drop_schema:
         for name in _tables_below(spark, root):
             s = VersionedTable(spark, f"{root}/{name}")
-            s.commit(s.version(), [])
+            s.clear()
     if drop_table:
         for s in [*stores.values(), ledger]:
-            s.commit(s.version(), [])
+            s.clear()
     listed = archives.list_archives(spark, path)
     report = Report(day, archives_seen=listed.count())
     if not report.archives_seen:
@@ -179,9 +179,9 @@ def _store(rows: DataFrame, t: configs.Table, store: VersionedTable, day: str) -
     fresh = versioning.new_by_hash(new, before) if before is not None and t.hash_geom else new
     kept = versioning.merge_absent(fresh, before if before is not None else new.limit(0), order=("geometry_hash",))
     kept = kept.withColumn("bbox", geometry.bbox(F.col("geom"))).repartition("departement", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("departement", "bbox.xmin", "bbox.ymin")
-    added = [e for e in store._write(kept) if e.rows]
+    added = store.write_files(kept)
     if added:
-        store.commit(version, store.entries(version) + added)
+        store.commit(version, add=added)
     return sum(e.rows for e in added), (fresh.select("geometry_hash").count() if fresh is not new else None)
 
 

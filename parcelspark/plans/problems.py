@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import incremental, intervals, references, snapshots, spatial
-from ..session import table
+from ..session import table, table_path
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +26,8 @@ def p1_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.archive_delta(table(spark, d, "archive_files"), table(spark, d, "archive_checksums"), table(spark, d, "import_runs")).select("file_seq").distinct()
+    files, ledger = (os.path.join(d, f"{n}.parquet") for n in ("archive_files", "archive_checksums"))
+    return incremental.archive_delta(spark, files, ledger, table(spark, d, "import_runs"), table_path(spark, "archives")).select("file_seq").distinct()
 
 
 def p3_run_takes(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +62,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_claims, p3_found, p3_run_takes,
 
 _CURRENT = """
 cur as (select archive_name, file_seq, nullif(lower(regexp_replace(checksum, '^\\s+|\\s+$', '', 'g')), '') c from archive_files
-  qualify row_number() over (partition by archive_name order by delivered_at desc nulls last, file_seq desc) = 1),
+  qualify row_number() over (partition by coalesce(archive_name, 'no name ' || file_seq) order by delivered_at desc nulls last, file_seq desc) = 1),
 led as (select a.archive_name, nullif(lower(regexp_replace(a.checksum, '^\\s+|\\s+$', '', 'g')), '') c from archive_checksums a
   where a.run_id in (select run_id from import_runs where status = 'Success')
   qualify row_number() over (partition by a.archive_name order by a.imported_at desc nulls last, a.run_id desc, a.checksum desc) = 1)

@@ -24,36 +24,63 @@ def test_versions_and_deltas(spark, tmp_path):
 
 def test_two_writers_one_fails(spark, tmp_path):
     t = inc.VersionedTable(spark, f"file://{tmp_path}/t")
-    t.commit(0, [])
+    t.commit(0)
     with pytest.raises(RuntimeError):
-        t.commit(0, [])
+        t.commit(0)
 
 
-def test_failure_neither_skips_nor_repeats(spark, tmp_path):
-    src, out = (inc.VersionedTable(spark, f"file://{tmp_path}/{n}") for n in ("src", "out"))
+def test_manifests_are_incremental(spark, tmp_path):
+    t = inc.VersionedTable(spark, f"file://{tmp_path}/t")
+    t.CHECKPOINT = 4
+    for k in range(9):
+        t.append(spark.range(k, k + 1), {"k": k})
+    t.delete(F.col("id") == 5)
+    assert sorted(r.id for r in t.read().collect()) == [0, 1, 2, 3, 4, 6, 7, 8] and t.state(10).meta == {"k": 8}
+    assert len(t._load(f"{9:012d}.json")["add"]) == 1 and len(t._load(f"{8:012d}.whole")["files"]) == 8
+    assert sorted(r.id for r in t.read(t.commit(10, like=3)).collect()) == [0, 1, 2]
+    assert t.read(t.clear()) is None and t.state(12).meta["k"] == 2
+
+
+@pytest.mark.parametrize("step", ["changes", "transform", "write_files", "_save"])
+def test_failure_neither_skips_nor_repeats(spark, tmp_path, monkeypatch, step):
+    """Killed at each step and run again: what is there comes out once."""
+    src, out = (inc.VersionedTable(spark, f"file://{tmp_path}/{n}", "v int") for n in ("src", "out"))
     df = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    take = lambda d: d.filter("_change = 'insert'").select("v")
     src.append(df(1, 2))
-    inc.process_new(src, out, "job", lambda d: d.filter("_change = 'insert'").select("v"))
+    inc.process_new(src, out, "job", take)
     src.append(df(3))
-
-    def dies(d):
-        raise ValueError("crash before the commit")
-
-    with pytest.raises(ValueError):
-        inc.process_new(src, out, "job", dies)
-    inc.process_new(src, out, "job", lambda d: d.filter("_change = 'insert'").select("v"))
+    src.delete(F.col("v") == 1)
+
+    def dies(*_):
+        raise ZeroDivisionError
+
+    if step == "transform":
+        with pytest.raises(ZeroDivisionError):
+            inc.process_new(src, out, "job", dies)
+    else:
+        with monkeypatch.context() as m, pytest.raises(ZeroDivisionError):
+            m.setattr(src if step == "changes" else out, step, dies)
+            inc.process_new(src, out, "job", take)
+    assert sorted(r.v for r in out.read().collect()) == [1, 2]
+    inc.process_new(src, out, "job", take)
     assert inc.process_new(src, out, "job", dies) is None
     assert sorted(r.v for r in out.read().collect()) == [1, 2, 3]
 
 
-def test_archive_delta(spark):
+def test_archive_delta(spark, tmp_path):
     at = lambda h: datetime(2024, 1, 1, h)
-    files = spark.createDataFrame([(1, "a", " AB ", at(1)), (2, "a", "cd", at(1)), (3, "b", "x", at(2)), (4, "c", None, at(1)), (5, "d", "n", None), (6, "e", "ok", at(1)), (7, "f", "old", at(3)), (8, "f", "new", at(2))], "file_seq long, archive_name string, checksum string, delivered_at timestamp_ntz")
+    files = spark.createDataFrame([(1, "a", " AB ", at(1)), (2, "a", "cd", at(1)), (3, "b", "x", at(2)), (4, "c", None, at(1)), (5, "d", "n", None), (6, "e", "ok", at(1)), (7, "f", "old", at(3)), (8, "f", "new", at(2)), (9, None, "q", at(1)), (10, None, "q", at(2))], "file_seq long, archive_name string, checksum string, delivered_at timestamp_ntz")
     ledger = spark.createDataFrame([("a", "CD\t", at(1), 1), ("b", "y", at(1), 1), ("b", "x", at(2), 2), ("c", "z", at(1), 1), ("e", "no", at(1), 1), ("e", "OK", at(2), 1), ("e", "OK", at(2), 1), ("f", "new", at(9), 3)], "archive_name string, checksum string, imported_at timestamp_ntz, run_id long")
     runs = spark.createDataFrame([(1, "Success"), (2, "Failed"), (3, None)], "run_id long, status string")
-    got = {(r.file_seq, r.change) for r in inc.archive_delta(files, ledger, runs).collect()}
-    assert got == {(3, "changed"), (4, "changed"), (5, "added"), (7, "added")}
-    assert inc.archive_delta(files.limit(0), ledger, runs).count() == 0
+    files.write.parquet(f"file://{tmp_path}/files")
+    files.limit(0).write.parquet(f"file://{tmp_path}/none")
+    ledger.write.parquet(f"file://{tmp_path}/ledger")
+    take = lambda a, b: inc.archive_delta(spark, f"file://{tmp_path}/{a}", f"file://{tmp_path}/{b}", runs, f"file://{tmp_path}/{a}-{b}")
+    got = {(r.file_seq, r.change) for r in take("files", "ledger").collect()}
+    assert got == {(3, "changed"), (4, "changed"), (5, "added"), (7, "added"), (9, "added"), (10, "added")}
+    assert take("files", "ledger").count() == 6  # made once, then read
+    assert take("none", "ledger").count() == 0
 
 
 def test_batch_is_all_or_nothing(spark, tmp_path):
