@@ -145,9 +145,11 @@ def orphan_references(references: DataFrame, objects: DataFrame) -> DataFrame:
         .select(_key(F.col("archive_name"), F.col("vec_seq"), F.col("rty"), F.col("rid")).alias("key"), F.lit("").alias("grp"))
         .distinct()
     )
-    named = refs.select("key", F.concat_ws("|", "origin", "period").alias("grp")).distinct()
-    gone = named.unionByName(parents).repartition("key").sortWithinPartitions("key").mapInArrow(_and_not, _ORPHAN).select("key").distinct()
-    return refs.join(gone, "key", "left_semi").select("origin", "key_id", "rid", "period").distinct()
+    refs = refs.withColumn("grp", F.concat_ws("|", "origin", "period"))
+    named = refs.select("key", "grp").distinct()
+    gone = named.unionByName(parents).repartition("key").sortWithinPartitions("key").mapInArrow(_and_not, _ORPHAN)
+    # the decoded bits of an origin and period are its orphaned keys, each once; the rows that name them are many or few
+    return refs.join(gone, ["key", "grp"], "left_semi").select("origin", "key_id", "rid", "period").distinct()
 
 
 def orphan_counts(references: DataFrame, objects: DataFrame) -> DataFrame:

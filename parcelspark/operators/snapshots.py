@@ -7,6 +7,7 @@ entity has at most one row per vintage.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import table_path, written
 
 #: Day number that stands for "there is none".
 NONE = 2**31 - 1
@@ -138,138 +139,131 @@ def history_text(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------ snapshot diff
 
-_DIFF = "departement string, id string, at int, change string"
-
-
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk one bucket, sorted by (departement, k), with the key-to-hash index of the last vintage in memory."""
-    empty = pa.table({"id": pa.array([], pa.string()), "geometry_hash": pa.array([], pa.binary())})
-    index, dep, k, nxt = empty, None, 0, NONE
-
-    def out(ids: pa.ChunkedArray | pa.Array, at: int, change: str) -> Iterator[pa.RecordBatch]:
-        if len(ids) and at != NONE:
-            ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([dep] * n, pa.string()), ids, pa.array([at] * n, pa.int32()), pa.array([change] * n)], names=["departement", "id", "at", "change"])
-
-    def snapshots() -> Iterator[tuple[str | None, int, int, int, pa.Table]]:
-        parts: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            d = pc.fill_null(b.column("departement"), "\x00").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            ks = b.column("k").to_numpy()
-            cut = np.flatnonzero((d[1:] != d[:-1]) | (ks[1:] != ks[:-1])) + 1
-            for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
-                key = (b.column("departement")[int(lo)].as_py(), int(ks[lo]), b.column("at")[int(lo)].as_py(), b.column("nxt")[int(lo)].as_py())
-                if last is not None and key != last:
-                    yield *last, pa.Table.from_batches(parts)
-                    parts = []
-                last = key
-                parts.append(b.slice(lo, hi - lo).select(["id", "geometry_hash"]))
-        if last is not None:
-            yield *last, pa.Table.from_batches(parts)
-
-    for d, kk, at, nn, snap in snapshots():
-        snap = snap.combine_chunks()
-        if k and (d != dep or kk != k + 1):  # the vintage after the indexed one has nothing in this bucket
-            yield from out(index["id"], nxt, "removed")
-            index = empty
-        fresh = d != dep
-        dep = d
-        if not (fresh and kk == 1):
-            old = pc.index_in(snap["id"], value_set=index["id"].combine_chunks())
-            yield from out(snap["id"].filter(pc.is_null(old)), at, "added")
-            known = snap.filter(pc.is_valid(old))
-            if known.num_rows:
-                before = index["geometry_hash"].take(old.drop_null())
-                yield from out(known["id"].filter(pc.not_equal(known["geometry_hash"], before)), at, "changed")
-            gone = pc.invert(pc.is_in(index["id"], value_set=snap["id"].combine_chunks())) if index.num_rows else None
-            if gone is not None:
-                yield from out(index["id"].filter(gone), at, "removed")
-        index, k, nxt = snap, kk, nn
-    yield from out(index["id"], nxt, "removed")
-
-
-def snapshot_changes(df: DataFrame) -> DataFrame:
-    """(departement, id, valid_from, change) between each two consecutive delivered vintages of a departement.
-
-    The rows are bucketed by (departement, id); a bucket keeps the index id -> hash of its last vintage, probes it with the
-    next, and swaps. A bucket's memory is its share of two vintages. The first vintage gives no changes; one in which a
-    departement has no valid row removes everything. Only keys and hashes move.
-    """
-    rows = deliveries(df).select("departement", "id", "geometry_hash", "k", F.unix_date("valid_from").alias("at"), _days("next").alias("nxt"))
-    diff = rows.repartition("departement", "id").sortWithinPartitions("departement", "k", "id").mapInArrow(_probe, _DIFF)
-    return diff.select("departement", "id", F.date_from_unix_date("at").alias("valid_from"), "change")
-
-
-def snapshot_changes_text(df: DataFrame) -> DataFrame:
-    return snapshot_changes(df).select("id", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), "change").distinct()
-
 
 class SnapshotIndex:
-    """A stored, bucketed index key -> hash of the last snapshot, for deliveries that arrive one at a time.
+    """A stored index key -> hash of the last snapshot, bucketed by key: a partition is a bucket.
 
-    ``advance`` compares a new snapshot with the index, fetches old values only for keys that changed or went, writes the new
-    index beside the old one and swaps by renaming a pointer of the next number into place: at any time one index is in force,
-    and a run that dies before the swap changes nothing.
+    ``advance`` writes the new snapshot once, as the next index, and probes the one in force bucket by bucket: as both are stored
+    in the same buckets, neither is shuffled. Old values are fetched only for keys that changed or went. Then the indexes are
+    swapped by renaming a pointer of the next number into place: at any time one index is in force, and a run that dies before
+    the swap changes nothing. ``carry``: columns kept with each key. The number of buckets is fixed when the index is made.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], hash_col: str, buckets: int = 64):
-        self.spark, self.root, self.keys, self.hash, self.buckets = spark, root.rstrip("/"), keys, hash_col, buckets
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], hash_col: str, buckets: int = 64, carry: tuple[str, ...] = ()):
+        self.spark, self.root, self.keys, self.hash, self.carry = spark, root.rstrip("/"), keys, hash_col, carry
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._names: list[str] = []
+        now = self._current()
+        self.buckets = now["buckets"] if now else buckets
 
     def _pointers(self) -> list[str]:
         root = self._path(self.root)
         names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
         return sorted(n for n in names if n.startswith("CURRENT-"))
 
-    def _current(self) -> str | None:
-        """Path of the index in force: the pointer of the highest number."""
+    def _current(self) -> dict | None:
+        """Path, schema and buckets of the index in force: the pointer of the highest number."""
         names = self._pointers()
         if not names:
             return None
         s = self._fs.open(self._path(f"{self.root}/{names[-1]}"))
         try:
-            return bytes(s.readAllBytes()).decode()
+            return json.loads(bytes(s.readAllBytes()).decode())
         finally:
             s.close()
 
-    def index(self) -> DataFrame | None:
-        at = self._current()
-        return None if at is None else self.spark.read.parquet(at)
+    def _bucketed(self, at: str, schema: str) -> DataFrame:
+        """The files at ``at`` as a bucketed table; its name is this session's, its data stay when the name is dropped."""
+        name, keys = f"index_{uuid.uuid4().hex}", ", ".join(f"`{k}`" for k in self.keys)
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+        self._names.append(name)
+        return self.spark.table(name)
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("_bucket")
+    def index(self) -> DataFrame | None:
+        now = self._current()
+        return None if now is None else self._bucketed(now["path"], now["schema"])
 
     def advance(self, snapshot: DataFrame, old_values: DataFrame | None = None) -> DataFrame:
-        """Changes of ``snapshot`` against the last one: the keys, ``change`` and, with ``old_values``, its row as ``old``.
+        """Changes of ``snapshot`` against the last one: the keys, ``change``, the carried columns before and after as
+        ``was_<name>`` and ``now_<name>`` and, with ``old_values``, its row as ``old``.
 
-        One row per key is expected in ``snapshot``. The first snapshot is all ``added``.
+        One row per key is expected in ``snapshot``; rows with a null in a key are no objects and are left out. A null hash is a
+        value like others. The first snapshot is all ``added``.
         """
-        new = snapshot.select(*self.keys, F.col(self.hash).alias("_new"), F.lit(True).alias("_n"), self._bucket())
         at = f"{self.root}/index-{uuid.uuid4().hex}"
-        old = self.index()
-        snapshot.select(*self.keys, F.col(self.hash), self._bucket()).repartition(self.buckets, "_bucket").sortWithinPartitions(*self.keys).write.parquet(at)
+        rows = snapshot.select(*self.keys, self.hash, *self.carry).dropna(subset=self.keys)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        name = f"index_{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, *self.keys).write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", at).saveAsTable(name)
+        self._names.append(name)
+        new, old = self.spark.table(name), self.index()
+        n = new.select(*self.keys, F.col(self.hash).alias("_new"), F.lit(True).alias("_n"), *[F.col(c).alias(f"now_{c}") for c in self.carry])
         if old is None:
-            changes = new.select(*self.keys, F.lit("added").alias("change"))
+            changes = n.withColumn("change", F.lit("added"))
+            for c in self.carry:
+                changes = changes.withColumn(f"was_{c}", F.lit(None).cast(new.schema[c].dataType))
         else:
-            old = old.select(*self.keys, F.col(self.hash).alias("_old"), F.lit(True).alias("_o"), "_bucket")
+            o = old.select(*self.keys, F.col(self.hash).alias("_old"), F.lit(True).alias("_o"), *[F.col(c).alias(f"was_{c}") for c in self.carry])
             kind = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
-            changes = new.join(old, ["_bucket", *self.keys], "full").withColumn("change", kind).filter(F.col("change").isNotNull()).select(*self.keys, "change")
-        changes = written(changes, "changes")
+            changes = n.hint("merge").join(o, self.keys, "full").withColumn("change", kind).filter(F.col("change").isNotNull())
+        changes = changes.select(*self.keys, "change", *[f"{w}_{c}" for c in self.carry for w in ("was", "now")])
+        at_changes = table_path(self.spark, "changes")
+        changes.write.parquet(at_changes)
+        changes = self.spark.read.schema(changes.schema).parquet(at_changes)
+        for t in self._names:  # names of this session; the data stay
+            self.spark.sql(f"DROP TABLE {t}")
+        self._names = []
         names = self._pointers()
         number = int(names[-1].split("-")[1]) + 1 if names else 1
-        tmp = self._path(f"{self.root}/_{uuid.uuid4().hex}")
+        tmp, to = self._path(f"{self.root}/_{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT-{number:012d}")
         out = self._fs.create(tmp, True)
-        out.write(bytearray(at.encode()))
+        out.write(bytearray(json.dumps({"path": at, "schema": schema, "buckets": self.buckets}).encode()))
         out.close()
-        if not self._fs.rename(tmp, self._path(f"{self.root}/CURRENT-{number:012d}")):
+        if self._fs.exists(to) or not self._fs.rename(tmp, to):
             raise RuntimeError(f"index {number} was swapped in by another run")
         if old_values is None:
             return changes
         touched = changes.filter(F.col("change") != "added")
         fetched = old_values.join(touched.select(*self.keys), self.keys, "left_semi").select(*self.keys, F.struct(*[F.col(c) for c in old_values.columns]).alias("old"))
         return changes.join(fetched, self.keys, "left")
+
+    def vacuum(self) -> int:
+        """Delete the indexes that aren't in force, once nothing reads them; how many there were."""
+        names, now = self._pointers(), self._current()
+        gone = [s.getPath() for s in (self._fs.listStatus(self._path(self.root)) if names else []) if s.getPath().getName().startswith("index-") and now["path"].rsplit("/", 1)[1] != s.getPath().getName()]
+        for p in [*gone, *[self._path(f"{self.root}/{n}") for n in names[:-1]]]:
+            self._fs.delete(p, True)
+        return len(gone)
+
+
+#: Rows of a vintage that a bucket should have.
+BUCKET_ROWS = 1_000_000
+
+
+def snapshot_changes(df: DataFrame, buckets: int | None = None) -> DataFrame:
+    """(departement, id, valid_from, change) between each two consecutive delivered vintages of a departement.
+
+    The vintages go through a ``SnapshotIndex`` in order, the first of all departements, then the second and so on: each becomes
+    the index that the next is probed with. Only keys and hashes move, once. The first vintage gives no changes; one in which a
+    departement has no valid row removes everything. ``buckets`` of the index: by the rows there are if None.
+    """
+    spark = df.sparkSession
+    dep = F.coalesce("departement", F.lit("\x00")).alias("departement")
+    rows = deliveries(df).select(dep, "id", "geometry_hash", "k", F.unix_date("valid_from").alias("at"), _days("next").alias("next"))
+    at = table_path(spark, "vintages")
+    rows.write.partitionBy("k").parquet(at)
+    rows = spark.read.schema(rows.schema).parquet(at)
+    n = rows.agg(F.max("k").alias("last"), F.count("*").alias("rows")).first()
+    out = spark.createDataFrame([], "departement string, id string, day int, change string")
+    if n["last"]:
+        index = SnapshotIndex(spark, table_path(spark, "snapshots"), ["departement", "id"], "geometry_hash", buckets or max(4, -(-n["rows"] // n["last"] // BUCKET_ROWS)), ("at", "next"))
+        for k in range(1, n["last"] + 1):  # as many as a departement has vintages
+            changes = index.advance(rows.filter(F.col("k") == k))
+            if k > 1:
+                out = out.unionByName(changes.select("departement", "id", F.coalesce("now_at", "was_next").alias("day"), "change").filter(F.col("day") != NONE))
+    return out.select(F.nullif("departement", F.lit("\x00")).alias("departement"), "id", F.date_from_unix_date("day").alias("valid_from"), "change")
+
+
+def snapshot_changes_text(df: DataFrame) -> DataFrame:
+    return snapshot_changes(df).select("id", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), "change").distinct()

@@ -184,9 +184,23 @@ def _with_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(zcode(cell(x), cell(y)))], names=[*b.schema.names, "code"])
 
 
-def coded_points(points: DataFrame) -> DataFrame:
-    """``points`` (id, x, y) with ``code``, written once: the pieces' bounds and both joins read them."""
-    return written(points.mapInArrow(_with_code, "id string, x long, y long, code long"), "points")
+def coded_points(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``points`` (id, x, y) as spots and members, both written once, as the pieces' bounds and the joins read them.
+
+    A spot (id, x, y, code, n) is a location with the least of its ids and the number of them; members (spot, id) are the ids
+    of spots that have several. However many points coincide, they are one row in the joins.
+    """
+    spots = written(points.groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "x", "y", "n").mapInArrow(_with_code, "id string, x long, y long, n long, code long"), "spots")
+    several = spots.filter("n > 1").select(F.col("id").alias("spot"), "x", "y")
+    return spots, written(points.join(several, ["x", "y"]).select("spot", "id"), "members")
+
+
+def with_members(rows: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with each of ``columns`` as the ids of the spot it names; a spot without members is its own id."""
+    for c in columns:
+        m = members.select(F.col("spot").alias("_spot"), F.col("id").alias("_id"))
+        rows = rows.join(m, rows[c] == m["_spot"], "left").withColumn(c, F.coalesce("_id", c)).drop("_spot", "_id")
+    return rows
 
 
 class Pieces:
@@ -239,8 +253,7 @@ def _salt(ids: pa.Array) -> np.ndarray:
 def _pieces(cut: Pieces, points: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lo, hi = ("code", "code") if points else ("lo", "hi")
-            first, last = (np.searchsorted(cut.cuts, b.column(c).to_numpy(), "right") for c in (lo, hi))
+            first, last = (np.searchsorted(cut.cuts, b.column(c).to_numpy(), "right") for c in ("lo", "hi"))
             salt = _salt(b.column("id")) if (cut.splits > 1).any() else np.zeros(b.num_rows, np.int64)
             row, piece = cut.assign(first, last, salt, points)
             yield pa.RecordBatch.from_arrays([*b.take(pa.array(row)).columns, pa.array(piece, pa.int32())], names=[*b.schema.names, "piece"])
@@ -265,7 +278,7 @@ def _discs(radius: int):
             start[1:] = (rep[1:] != rep[:-1]) | (code[1:] != code[:-1] + 1)
             at = np.flatnonzero(start)
             hi = code[np.append(at[1:], len(code)) - 1] if len(code) else code
-            yield pa.RecordBatch.from_arrays([*b.select(["id", "x", "y"]).take(pa.array(rep[at])).columns, pa.array(code[at]), pa.array(hi)], names=["id", "x", "y", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([*b.select(["id", "x", "y"]).take(pa.array(rep[at])).columns, pa.array(code[at]), pa.array(hi), pa.array(np.ones(len(at), bool))], names=["id", "x", "y", "lo", "hi", "disc"])
 
     return run
 
@@ -289,38 +302,64 @@ def _expand(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int = 1 <<
         s = e
 
 
+_SIDES = "id string, x long, y long, lo long, hi long, disc boolean, piece int"
+
+
 def _near(radius: int):
+    """Pairs of a partition sorted by (piece, disc): a piece's points are held, its discs stream past them."""
     limit = radius * radius
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(left["code"].to_numpy(), kind="stable")
-        left = left.take(pa.array(order))
-        codes, px, py = (left[c].to_numpy() for c in ("code", "x", "y"))
-        qx, qy, lo, hi = (right[c].to_numpy() for c in ("x", "y", "lo", "hi"))
-        pid, qid = left["id"].combine_chunks(), right["id"].combine_chunks()
-        out = []
+    def meet(points: pa.Table, discs: pa.Table) -> Iterator[pa.RecordBatch]:
+        codes, px, py = (points[c].to_numpy() for c in ("lo", "x", "y"))
+        qx, qy, lo, hi = (discs[c].to_numpy() for c in ("x", "y", "lo", "hi"))
+        own = zcode(cell(qx), cell(qy))
+        pid, qid = points["id"].combine_chunks(), discs["id"].combine_chunks()
         for r, p in _expand(codes, lo, hi):
             ok = (px[p] - qx[r]) ** 2 + (py[p] - qy[r]) ** 2 <= limit
-            a, b = qid.take(pa.array(r[ok])), pid.take(pa.array(p[ok]))
-            less, more = pa.compute.less(a, b), pa.compute.greater(a, b)
-            both = pa.compute.or_(less, more)
-            out.append(pa.table({"id_a": pa.compute.if_else(less, a, b).filter(both), "id_b": pa.compute.if_else(less, b, a).filter(both)}))
-        return pa.concat_tables(out) if out else pa.table({"id_a": pa.array([], pa.string()), "id_b": pa.array([], pa.string())})
+            r, p = r[ok], p[ok]
+            a, b = qid.take(pa.array(r)), pid.take(pa.array(p))
+            less = pa.compute.less(a, b)
+            # the lower cell owns a pair, in one cell the lower id
+            keep = pa.compute.or_(less, pa.array(codes[p] > own[r]))
+            yield pa.RecordBatch.from_arrays([pa.compute.if_else(less, a, b).filter(keep), pa.compute.if_else(less, b, a).filter(keep)], names=["id_a", "id_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, held, points = None, [], None
+        for b in batches:
+            at = b.column("piece").to_numpy() * 2 + b.column("disc").to_numpy(zero_copy_only=False)
+            cut = np.append(np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1), len(at)) if len(at) else []
+            for s, e in zip(cut[:-1], cut[1:]):
+                part, now = b.slice(s, e - s), int(at[s])
+                if now // 2 != piece:
+                    piece, held, points = now // 2, [], None
+                if now % 2 == 0:
+                    held.append(part)
+                elif held:
+                    if points is None:
+                        points = pa.Table.from_batches(held).combine_chunks()
+                        points = points.take(pa.array(np.argsort(points["lo"].to_numpy(), kind="stable")))
+                    yield from meet(points, pa.Table.from_batches([part]))
 
     return run
 
 
-def near(points: DataFrame, radius_m: float, cut: Pieces) -> DataFrame:
-    """Pairs (id_a, id_b), id_a < id_b, of different ids at most ``radius_m`` apart; ``points`` as from ``coded_points``.
+def near(spots: DataFrame, radius_m: float, cut: Pieces) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of different spots at most ``radius_m`` apart; ``spots`` as from ``coded_points``.
 
-    Each point's disc is covered with ranges of cells, only those not below its own, and joined to the points by code.
-    Equal locations are 0 m apart. One point, or none, gives no pairs.
+    Each spot's disc is covered with ranges of cells, only those not below its own, and joined to the spots by code; a pair
+    comes out once. One spot, or none, gives no pairs. Points of one spot are pairs too: see ``near_points``.
     """
     radius = int(round(radius_m * UNIT))
-    p = points.mapInArrow(_pieces(cut, True), "id string, x long, y long, code long, piece int")
-    d = points.mapInArrow(_discs(radius), "id string, x long, y long, lo long, hi long").mapInArrow(_pieces(cut, False), "id string, x long, y long, lo long, hi long, piece int")
-    n = cut.partitions(points)
-    return p.repartition(n, "piece").groupBy("piece").cogroup(d.repartition(n, "piece").groupBy("piece")).applyInArrow(_near(radius), "id_a string, id_b string").distinct()
+    p = spots.select("id", "x", "y", F.col("code").alias("lo"), F.col("code").alias("hi"), F.lit(False).alias("disc")).mapInArrow(_pieces(cut, True), _SIDES)
+    d = spots.select("id", "x", "y", "code").mapInArrow(_discs(radius), _SIDES.replace(", piece int", "")).mapInArrow(_pieces(cut, False), _SIDES)
+    return p.unionByName(d).repartition(cut.partitions(spots), "piece").sortWithinPartitions("piece", "disc").mapInArrow(_near(radius), "id_a string, id_b string")
+
+
+def near_points(spots: DataFrame, members: DataFrame, radius_m: float, cut: Pieces) -> DataFrame:
+    """All pairs of points, made from the pairs of spots and the points of each; ``near`` with the members is the same in short."""
+    far = with_members(near(spots, radius_m, cut), members, "id_a", "id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    l, r = members.alias("l"), members.alias("r")
+    return far.unionByName(l.join(r, (F.col("l.spot") == F.col("r.spot")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b")))
 
 
 _COVER = "kind string, id string, geometry string, lo array<long>, hi array<long>, sure array<boolean>, piece int"
@@ -352,8 +391,8 @@ def _covers(cut: Pieces, grid: int):
 
 
 def _within(left: pa.Table, right: pa.Table) -> pa.Table:
-    left = left.take(pa.array(np.argsort(left["code"].to_numpy(), kind="stable")))
-    codes, px, py = (left[c].to_numpy() for c in ("code", "x", "y"))
+    left = left.take(pa.array(np.argsort(left["lo"].to_numpy(), kind="stable")))
+    codes, px, py = (left[c].to_numpy() for c in ("lo", "x", "y"))
     pid = left["id"].combine_chunks()
     out = []
     for kind, rid, wkt, lo, hi, sure in zip(*(right[c].to_pylist() for c in ("kind", "id", "geometry", "lo", "hi", "sure"))):
@@ -374,21 +413,33 @@ def _within(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def within(points: DataFrame, regions: DataFrame, cut: Pieces, grid: int = 32) -> DataFrame:
-    """(kind, id_a, id_b): points strictly inside a region; ``regions`` (kind, id, geometry).
+    """(kind, id_a, id_b): spots strictly inside a region; ``regions`` (kind, id, geometry).
 
     Points in cells that lie inside a region as a whole are never refined. Regions may overlap, and several rows of a region
     count together. Null, empty and unreadable geometries contain nothing.
     """
     n = cut.partitions(points)
-    p = points.mapInArrow(_pieces(cut, True), "id string, x long, y long, code long, piece int")
+    p = points.select("id", "x", "y", F.col("code").alias("lo"), F.col("code").alias("hi")).mapInArrow(_pieces(cut, True), "id string, x long, y long, lo long, hi long, piece int")
     c = regions.repartition(n, "id").mapInArrow(_covers(cut, grid), _COVER)
     return p.repartition(n, "piece").groupBy("piece").cogroup(c.repartition(n, "piece").groupBy("piece")).applyInArrow(_within, "kind string, id_a string, id_b string").distinct()
 
 
 def parcel_neighbourhood(parcels: DataFrame, sections: DataFrame, communes: DataFrame, radius_m: float = 12, piece_rows: int = 50_000) -> DataFrame:
     """(kind, id_a, id_b): parcels near each other and the open sections and communes around each parcel's location."""
-    points = coded_points(current_locations(parcels))
-    cut = pieces(points, piece_rows)
+    spots, members = coded_points(current_locations(parcels))
+    cut = pieces(spots, piece_rows)
     regions = open_regions(sections, "section").unionByName(open_regions(communes, "commune"))
-    pairs = near(points, radius_m, cut).select(F.lit("near").alias("kind"), "id_a", "id_b")
-    return pairs.unionByName(within(points, regions, cut))
+    pairs = near_points(spots, members, radius_m, cut).select(F.lit("near").alias("kind"), "id_a", "id_b")
+    return pairs.unionByName(with_members(within(spots, regions, cut), members, "id_a"))
+
+
+def spot_report(parcels: DataFrame, radius_m: float = 12, piece_rows: int = 50_000) -> DataFrame:
+    """(spot, parcels, spots_near, parcels_near): the neighbourhood of each location without a row per pair of its parcels.
+
+    ``parcels_near`` counts those at the location itself but one."""
+    spots, _ = coded_points(current_locations(parcels))
+    pairs = near(spots, radius_m, pieces(spots, piece_rows))
+    both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    n = spots.select(F.col("id").alias("id_b"), "n")
+    per = both.join(n, "id_b").groupBy(F.col("id_a").alias("id")).agg(F.count("*").alias("spots_near"), F.sum("n").alias("around"))
+    return spots.join(per, "id", "left").select(F.col("id").alias("spot"), F.col("n").alias("parcels"), F.coalesce("spots_near", F.lit(0)).alias("spots_near"), (F.coalesce("around", F.lit(0)) + F.col("n") - 1).alias("parcels_near"))

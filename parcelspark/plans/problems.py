@@ -8,20 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import incremental, intervals, references, snapshots, spatial
-from ..session import table, table_path
+from ..session import table, table_path, written
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return spatial.parcel_neighbourhood(table(spark, d, "parcelles"), table(spark, d, "sections"), table(spark, d, "communes"))
 
 
+def p1_spots(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.spot_report(table(spark, d, "parcelles"))
+
+
 def p1_claims(spark: SparkSession, d: str) -> DataFrame:
-    """Per declared commune: located parcels, those the map puts into it, and those it puts only elsewhere."""
+    """Per declared commune: located parcels, those the map puts into it, and those it puts only elsewhere or nowhere."""
     parcels = table(spark, d, "parcelles")
-    points = spatial.coded_points(spatial.current_locations(parcels))
-    inside = spatial.within(points, spatial.open_regions(table(spark, d, "communes"), "commune"), spatial.pieces(points, 50_000))
+    located = written(spatial.current_locations(parcels), "located")
+    spots, members = spatial.coded_points(located)
+    inside = spatial.with_members(spatial.within(spots, spatial.open_regions(table(spark, d, "communes"), "commune"), spatial.pieces(spots, 50_000)), members, "id_a")
     said = parcels.filter(F.col("valid_to").isNull() & F.col("geometry").isNotNull()).groupBy("id").agg(F.max_by("commune_id", F.struct("valid_from", "row_id")).alias("said"))
-    per = inside.join(said, inside["id_a"] == said["id"]).groupBy("id_a", "said").agg(F.max((F.col("id_b") == F.col("said")).cast("int")).alias("agrees"))
+    claims = located.select("id").join(said, "id").select(F.col("id").alias("id_a"), "said")
+    per = claims.join(inside.select("id_a", "id_b"), "id_a", "left").groupBy("id_a", "said").agg(F.max((F.col("id_b") == F.col("said")).cast("int")).alias("agrees"))
     return per.groupBy("said").agg(F.count("*").alias("located"), F.sum(F.coalesce("agrees", F.lit(0))).alias("agreeing"))
 
 
@@ -58,7 +64,7 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "parcelles_livraisons")).groupBy("departement", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), "change").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_claims, p3_found, p3_run_takes, p4_found, p5_found, p6_found, p6_counts, p7_found, p7_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_spots, p1_claims, p3_found, p3_run_takes, p4_found, p5_found, p6_found, p6_counts, p7_found, p7_counts)}
 
 _CURRENT = """
 cur as (select archive_name, file_seq, nullif(lower(regexp_replace(checksum, '^\\s+|\\s+$', '', 'g')), '') c from archive_files

@@ -1,6 +1,9 @@
 import random
 from datetime import date, datetime
 
+import pytest
+from pyspark.sql import functions as F
+
 from parcelspark.operators import snapshots
 
 SCHEMA = "row_id long, id string, departement string, delivery_no int, contenance int, section_id string, valid_from date, geometry_hash binary, created_at timestamp_ntz, k string"
@@ -71,11 +74,35 @@ def test_empty(spark):
 
 
 def test_stored_index(spark, tmp_path):
+    at = f"file://{tmp_path}/ix"
+    ix = snapshots.SnapshotIndex(spark, at, ["id"], "h", 4, ("v",))
+    s = lambda rows: spark.createDataFrame(rows, "id string, h string, v int, change string")
+    one = s([("a", "1", 1, "x"), ("b", "1", 1, "x"), ("c", None, 1, "x"), (None, "1", 1, "x")])
+    assert {(r["id"], r["change"], r["now_v"]) for r in ix.advance(one).collect()} == {("a", "added", 1), ("b", "added", 1), ("c", "added", 1)}
+    two = s([("a", "2", 2, "x"), ("c", None, 1, "x"), ("d", "1", 1, "x")])
+    ix = snapshots.SnapshotIndex(spark, at, ["id"], "h", 99, ("v",))  # another run: the buckets are those it was made with
+    got = {(r["id"], r["change"], r["old"]["v"] if r["old"] else None, r["was_v"]) for r in ix.advance(two, one).collect()}
+    assert ix.buckets == 4 and got == {("a", "changed", 1, 1), ("b", "removed", 1, 1), ("d", "added", None, None)}
+    assert ix.advance(two).collect() == [] and ix.vacuum() == 2 and sorted(r.id for r in ix.index().collect()) == ["a", "c", "d"]
+
+
+def test_index_is_probed_without_a_shuffle(spark, tmp_path, monkeypatch):
+    ix = snapshots.SnapshotIndex(spark, f"file://{tmp_path}/ix", ["id"], "h", 4)
+    df = spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("h"))
+    ix.advance(df)
+    plans = []
+    monkeypatch.setattr(snapshots, "table_path", lambda s, t: f"file://{tmp_path}/{t}")
+    write = type(df.write).parquet
+    monkeypatch.setattr(type(df.write), "parquet", lambda w, at: (plans.append(w._df._jdf.queryExecution().executedPlan().toString()), write(w, at)))
+    assert ix.advance(df).count() == 0
+    assert "Exchange" not in plans[0] and "SortMergeJoin" in plans[0]
+
+
+def test_died_before_the_swap(spark, tmp_path, monkeypatch):
     ix = snapshots.SnapshotIndex(spark, f"file://{tmp_path}/ix", ["id"], "h", 4)
-    s = lambda rows: spark.createDataFrame(rows, "id string, h string, v int")
-    one = s([("a", "1", 1), ("b", "1", 1), ("c", None, 1)])
-    assert {tuple(r) for r in ix.advance(one).collect()} == {("a", "added"), ("b", "added"), ("c", "added")}
-    two = s([("a", "2", 2), ("c", None, 1), ("d", "1", 1)])
-    got = {(r["id"], r["change"], r["old"]["v"] if r["old"] else None) for r in ix.advance(two, one).collect()}
-    assert got == {("a", "changed", 1), ("b", "removed", 1), ("d", "added", None)}
-    assert ix.advance(two).collect() == []
+    one, two = (spark.createDataFrame([(i, h) for i, h in rows], "id string, h string") for rows in ([("a", "1")], [("a", "2"), ("b", "1")]))
+    ix.advance(one)
+    with monkeypatch.context() as m, pytest.raises(ZeroDivisionError):
+        m.setattr(snapshots, "table_path", lambda *_: 1 / 0)
+        ix.advance(two)
+    assert {tuple(r) for r in ix.advance(two).collect()} == {("a", "changed"), ("b", "added")}

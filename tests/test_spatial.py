@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from parcelspark.operators import spatial
 
@@ -55,13 +56,25 @@ def test_neighbourhood(spark):
 def test_crowded_cell_and_pieces(spark):
     rng = random.Random(3)
     pts = [(f"a{n:04d}", rng.randint(0, 3000), rng.randint(0, 3000)) for n in range(600)] + [(f"b{n:04d}", rng.randint(-10**6, 10**6), rng.randint(-10**6, 10**6)) for n in range(600)]
-    points = spatial.coded_points(spark.createDataFrame(pts, "id string, x long, y long"))
+    pts += [("c1", 77, 77), ("c2", 77, 77), ("c3", 77, 77)]
+    points, members = spatial.coded_points(spark.createDataFrame(pts, "id string, x long, y long"))
     cut = spatial.pieces(points, 50)
     assert (cut.splits > 1).any() and len(cut.cuts) > 3
-    got = {tuple(r) for r in spatial.near(points, 2, cut).collect()}
+    got = [tuple(r) for r in spatial.near_points(points, members, 2, cut).collect()]
+    assert len(got) == len(set(got))
+    got = set(got)
     xy = np.array([p[1:] for p in pts])
     want = {(pts[i][0], pts[j][0]) for i in range(len(pts)) for j in np.flatnonzero(((xy - xy[i]) ** 2).sum(1) <= 400**2) if pts[i][0] < pts[j][0]}
     assert got == want
     region = spark.createDataFrame([("r", "R", f"POLYGON({box(-1, -1, 9, 9)})")], "kind string, id string, geometry string")
-    inside = {r.id_a for r in spatial.within(points, region, cut, 8).collect()}
+    inside = {r.id_a for r in spatial.with_members(spatial.within(points, region, cut, 8), members, "id_a").collect()}
     assert inside == {i for i, x, y in pts if -200 < x < 1800 and -200 < y < 1800}
+
+
+def test_many_parcels_on_one_spot(spark):
+    """Fifty thousand on one spot are one row, and so are two thousand on each of its neighbours."""
+    square = lambda x: f"POLYGON({box(x, 0, x + 2, 2)})"
+    at = F.when(F.col("id") < 50_000, square(0)).when(F.col("id") < 52_000, square(12)).otherwise(square(30))
+    df = spark.range(52_003).select(F.col("id").alias("row_id"), F.format_string("p%06d", "id").alias("id"), at.alias("geometry"), F.lit("2020-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    got = {tuple(r) for r in spatial.spot_report(df).collect()}
+    assert got == {("p000000", 50_000, 1, 51_999), ("p050000", 2000, 1, 51_999), ("p052000", 3, 0, 2)}
