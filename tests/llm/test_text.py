@@ -37,6 +37,7 @@ def test_packing_is_tight_and_spreads_copies():
     # a third are copies: still tight, and no container holds more of them than it must
     clusters = [0 if k % 3 == 0 else k for k in range(3000)]
     sizes = [300 if k % 3 == 0 else n for k, n in enumerate(sizes)]
+    assert len({b for *_, b in packing.pack(sizes, clusters, ["s"] * 3000, 4096, strict=True)}) >= 1000
     out = packing.pack(sizes, clusters, ["s"] * 3000, 4096)
     per = {}
     for i, _, _, b in out:
@@ -58,6 +59,14 @@ def test_packed_table(spark):
     total = packing.fill_report(out, 500).filter("source = '(all)'").first()
     assert total.documents == len(rows) and 0.5 < total.fill <= 1
     assert packing.packed(tokens.token_sizes(df.limit(0)), 0, 500).count() == 0
+    # twenty copies in a container for four: they are told, unless they must not
+    many = docs(spark, [(k, "one text " * 10, "a", 0, 0, "") for k in range(20)])
+    assert packing.packed(tokens.token_sizes(many), 20, 100).filter("forced").count() == 20
+    strict = packing.packed(tokens.token_sizes(many), 20, 100, strict=True)
+    assert strict.filter("forced").count() == 0 and strict.select("shard", "bin").distinct().count() == 20
+    sizes = tokens.token_sizes(df.filter("doc_id <> 5"))
+    apart = packing.packed(sizes, len(rows), 500, 60, (("a", "b"),))
+    assert {r["check"]: r.n for r in packing.invariants(sizes, apart, 500, (("a", "b"),)).collect()} == {"documents": 202, "containers above capacity": 0, "split though they fit": 0, "tokens lost or added": 0, "sources together that are apart": 0}
 
 
 # ------------------------------------------------------------------------------------------------ 9
@@ -89,6 +98,7 @@ def test_mixture(spark):
     assert sorted(map(tuple, mix.collect())) == sorted(map(tuple, mixing.mixture(df, rates, block_rows=100, fan=3).collect()))
     rep = {(r.plan, r.source): r for r in mixing.share_report(mix, rates).collect()}
     big, small = rep["p", "big"], rep["p", "small"]
+    assert {(r["check"], r.violations) for r in mixing.invariants(df, mix, mixing.share_report(mix, rates)).collect() if r.violations} == set()
     assert abs(big.reached_share - 5 / 9) < 0.002 and abs(small.reached_share - 4 / 9) < 0.002 and rep["p", "absent"].outcome == "absent"
     assert big.most_copies <= 1 and small.most_copies <= 3 and rep["q", "small"].used_tokens == 2 * sum(r[3] for r in rows if r[2] == "small") and rep["z", "big"].used_tokens == 0
     short = mixing.plan_rates(df, t, 10**9)
@@ -96,6 +106,24 @@ def test_mixture(spark):
     assert got["p", "big"] == "too small" and mixing.mixture(df.limit(0), mixing.plan_rates(df.limit(0), t)).count() == 0
 
 
+def test_a_heavy_document_leaves_a_source_off_or_corrected(spark):
+    """One document of a source is heavier than all others together: by rounding alone it misses its share by far."""
+    rows = [(0, None, "small", 37_769, 0, "")] + [(k, None, "small", 500, 0, "") for k in range(1, 15)] + [(100 + k, None, "big", 400, 0, "") for k in range(1000)]
+    df = docs(spark, rows).select("doc_id", "source", "n_tokens")
+    t = spark.createDataFrame([("p", "small", 0.2, 3), ("p", "big", 0.8, 3)], "plan string, source string, target_share double, max_repeats int")
+    rates = mixing.plan_rates(df, t, 283_000)  # 56,600 of them from the source that has 44,769
+    plain = {r.source: r for r in mixing.share_report(mixing.mixture(df, rates, corrections=0), rates).collect()}
+    assert plain["small"].outcome == "off" and abs(plain["small"].used_tokens - 56_600) > 10_000 and plain["big"].outcome == "met"
+    mix = mixing.mixture(df, rates)
+    got = {r.source: r for r in mixing.share_report(mix, rates).collect()}
+    assert abs(got["small"].used_tokens - 56_600) <= 1500 and got["small"].most_copies <= 3
+    assert got["big"].used_tokens == plain["big"].used_tokens
+    listed = {r.source: r.outcome for r in mixing.share_report(mixing.mixture(df, mixing.plan_rates(df, t, "listed")), mixing.plan_rates(df, t, "listed")).collect()}
+    assert listed["big"] == "met"
+    none = spark.createDataFrame([("p", "small", 0.5, 0), ("p", "big", 0.5, 1)], t.schema)
+    assert {r.source: r.outcome for r in mixing.share_report(mixing.mixture(df, mixing.plan_rates(df, none)), mixing.plan_rates(df, none)).collect()} == {"small": "too small", "big": "met"}
+
+
 # ------------------------------------------------------------------------------------------------ 10
 
 
