@@ -2,9 +2,11 @@
 
 A value is seen through a latent chain of (charset written in, charset decoded with) steps, most often none. Undoing a chain
 gives the text as it would have been written; a character model of the written text says how likely that is. Expectation-
-maximisation alternates between the chains' probabilities of each value and the model, which is trained on the texts so
-repaired, each by its probability. What a source and a field show in all their records then is a prior for each of their
-values, so that weak evidence counts where damage is known, and the value is repaired by its posterior.
+maximisation runs over cells (value, source, field): each source and field has its own chain probabilities, latent like the
+chains, shrunk to those of the source, and these to those of all sources. Every round scores the options of each value under the
+model (E), gives each cell the posterior of its options under its source's and field's chains, and counts chains and repaired texts
+anew, by their probabilities (M), until no more than a few records move. So weak evidence is pooled across the records of a source
+and field, and each record is repaired by its posterior. No option of a value is dropped on the way.
 
 The character model has a fixed size (hashed trigrams), so what each iteration brings to the driver is bounded.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 #: Single-byte charsets that text is decoded with by mistake, and those that it was written in.
-DECODED = ("cp1252", "latin-1", "iso8859-15", "cp850", "cp437", "mac_roman", "cp1250", "iso8859-2", "cp1254")
+DECODED = ("cp1252", "latin-1", "iso8859-15", "cp850", "cp437", "mac_roman", "cp1250", "iso8859-2", "cp1254", *(f"iso8859-{n}" for n in range(3, 9)))
 WRITTEN = ("cp1252", "iso8859-15", "cp850", "cp437", "mac_roman")
 #: Texts that went through UTF-8 wrongly may have done so repeatedly.
 DEPTH = 3
@@ -49,12 +51,13 @@ class Codecs:
         self.chars = {n: _byte_table(n) for n in {*DECODED, *WRITTEN}}
         self.bytes = {n: {c: b for b, c in reversed(list(enumerate(t)))} for n, t in self.chars.items()}
         # single-byte pairs as translation tables of the characters that differ, and the characters they need
-        self.pairs: dict[str, tuple[dict[int, str], frozenset[str]]] = {}
+        self.pairs: dict[str, tuple[dict[int, str], frozenset[str], frozenset[str]]] = {}
+        self.memo: dict[str, dict[str, str]] = {}
         for d in DECODED:
             for w in WRITTEN:
                 if w != d:
                     t = {ord(c): self.chars[w][b] for b, c in enumerate(self.chars[d]) if b > 127 and self.chars[w][b] != c}
-                    self.pairs[f"{w}>{d}"] = (t, frozenset(self.chars[d]))
+                    self.pairs[f"{w}>{d}"] = (t, frozenset(map(chr, t)), frozenset(self.chars[d]))
         self.high = {d: re.compile("[" + re.escape("".join(c for b, c in enumerate(self.chars[d]) if 0xC2 <= b <= 0xF4)) + "][" + re.escape("".join(c for b, c in enumerate(self.chars[d]) if 0x80 <= b <= 0xBF)) + "]{1,3}") for d in DECODED}
 
     def undo_utf8(self, text: str, d: str) -> str:
@@ -76,7 +79,26 @@ class Codecs:
 
         return self.high[d].sub(one, text)
 
-
+    def forms(self, word: str) -> dict[str, str]:
+        """Chain -> word as written, for single-byte chains and those with a UTF-8 step before; each word is worked out once."""
+        if word not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            odd, out = {c for c in word if ord(c) > 127}, {}
+            for chain, (table, moved, known) in self.pairs.items():
+                if odd and not odd.isdisjoint(moved) and odd <= known:
+                    out[chain] = word.translate(table)
+            for chain, u in list(out.items()):
+                if _RUN.search(u):
+                    for d in DECODED:
+                        if (v := self.undo_utf8(u, d)) != u:
+                            out[f"utf-8>{d}|{chain}"] = v
+            self.memo[word] = out
+        return self.memo[word]
+
+
+#: UTF-8 sequences are at least two characters that aren't ASCII.
+_RUN = re.compile("[^\x00-\x7f]{2}")
 _CONTROL = re.compile("[\x80-\x9f]")
 
 
@@ -96,8 +118,9 @@ _LEADS = re.compile("[" + re.escape("".join(sorted({bytes([b]).decode(d, "ignore
 def repairs(text: str, codecs: Codecs, better) -> dict[str, str]:
     """Chain -> text as written, for every chain that could have made ``text``. ``better(a, b)``: is word a likelier than b."""
     out: dict[str, str] = {}
+    seen: set[str] = set()
     # a no-break space, the second byte of à, may have become a space
-    layer = {"": text.replace("Ã ", "Ã\xa0")} if _LEADS.search(text) else {}
+    layer = {"": text.replace("Ã ", "Ã\xa0")} if _LEADS.search(text) and ("Ã " in text or _RUN.search(text)) else {}
     for _ in range(DEPTH):
         nxt = {}
         for chain, t in layer.items():
@@ -106,7 +129,8 @@ def repairs(text: str, codecs: Codecs, better) -> dict[str, str]:
                 if u != t and u not in nxt.values():
                     nxt[f"{chain}{'|' if chain else ''}utf-8>{d}"] = u
         for chain, u in nxt.items():
-            if not control(u) and u not in out.values() and u != text:
+            if not control(u) and u not in seen and u != text:
+                seen.add(u)
                 out[chain] = u
         layer = nxt
     if _BARE.search(text):
@@ -115,16 +139,17 @@ def repairs(text: str, codecs: Codecs, better) -> dict[str, str]:
             u = t
             while m := _BARE.search(u):  # from left to right, so that the next one sees the letter found
                 u = u[: m.start()] + _fill(m, better) + u[m.end() :]
-            if u != text and u not in out.values():
+            if u != text and u not in seen:
+                seen.add(u)
                 out["utf-8>latin-1,dropped" + mark] = u
-    words = re.split("( )", text)
-    for chain, (table, known) in codecs.pairs.items():
-        if all(ord(c) < 128 or ord(c) not in table for c in text):
-            continue
-        every = [w.translate(table) if known.issuperset(w) else w for w in words]
+    words = text.split(" ")
+    forms = [codecs.forms(w) for w in words]
+    for chain in dict.fromkeys(c for f in forms for c in f):
+        every = [f.get(chain, w) for f, w in zip(forms, words)]
         best = [v if v != w and better(v, w) else w for v, w in zip(every, words)]
-        for u, mark in (("".join(every), ""), ("".join(best), ",partly")):
-            if u != text and not control(u) and u not in out.values():
+        for u, mark in ((" ".join(every), ""), (" ".join(best), ",partly")):
+            if u != text and u not in seen and not control(u):
+                seen.add(u)
                 out[chain + mark] = u
     return out
 
@@ -232,11 +257,13 @@ def posterior(value: str, chains: list[str], prior: dict[str, float], ll: np.nda
 _STAT = "part int, name string, bucket int, w double"
 #: Log-odds for each UTF-8 sequence found in a text: written characters hardly ever happen to form one.
 SEQUENCE = 3.5
-#: Chains less likely than no damage by this factor under the first model are not kept.
-_PRUNE = 10.0
-#: How far the chains' estimated probabilities count in each iteration. At first evidence decides alone, so that a frequent
+#: Options that a word by word score puts this many nats behind the best count nothing in a round; they stay for the next.
+MARGIN = 30.0
+#: How far the chains' estimated probabilities count in the first rounds. At first evidence decides alone, so that a frequent
 #: kind of damage can't pass for spelling.
-TEMPER = (0.0, 0.25, 0.5, 1.0)
+TEMPER = (0.0, 0.25, 0.5)
+#: The rounds end when at most this share of the records, or one record, has moved, and after ``ROUNDS`` in any case.
+SETTLED, ROUNDS = 1e-4, 20
 
 
 def _emit(m: Model, sign: dict[str, float]) -> Iterator[pa.RecordBatch]:
@@ -272,42 +299,50 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emit(m, {"": total})
 
 
-_OPTIONS = "value string, n long, chains array<string>, texts array<string>"
-#: Options with the probabilities, of no damage first, by which they count in the model; null before the first iteration.
-_STATE = _OPTIONS + ", p array<double>"
+_OPTIONS = "value string, chains array<string>, texts array<string>"
 
 
-def _options(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codecs, m = Codecs(), Model.of(model.value)
-        words: dict[str, float] = {}
+class Words:
+    """Scores of words as they stand in a text, each worked out once in a task, many at a time."""
+
+    def __init__(self, m: Model):
+        self.m, self.known = m, {}
+
+    def learn(self, words) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if len(self.known) + len(new) > 500_000:
+            self.known.clear()
+        for s in range(0, len(new), 5000):
+            part = new[s : s + 5000]
+            self.known.update(zip(part, self.m.words([w + " " for w in part]).tolist()))
 
-        def score(w: str) -> float:
-            if w not in words:
-                if len(words) > 200_000:
-                    words.clear()
-                words[w] = m.words([w + " "])[0]
-            return words[w]
+    def score(self, word: str) -> float:
+        if word not in self.known:
+            self.learn([word])
+        return self.known[word]
 
+    def texts(self, texts: list[str]) -> np.ndarray:
+        split = [t.split(" ") for t in texts]
+        self.learn(w for t in split for w in t)
+        return np.array([sum(map(self.score, t)) for t in split])
+
+
+def _options(model):
+    """All options of each value that has any, or is damaged for sure."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codecs, words = Codecs(), Words(Model.of(model.value))
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                values, n = b.column("value").slice(s, 500).to_pylist(), b.column("n").slice(s, 500).to_pylist()
-                found = [repairs(v, codecs, lambda x, y: score(x) > score(y)) for v in values]
-                texts = [t for v, f in zip(values, found) for t in (v, *f.values())]
-                # all copies of the text as it stands: however many there are, they drop no chain
-                own = np.array([o for k, f in zip(n, found) for o in (float(k), *[0.0] * len(f))])
-                ll = m.score(texts, own)
-                rows, at = [], 0
-                for v, k, f in zip(values, n, found):
-                    part = ll[at : at + 1 + len(f)] + _sequences(v, list(f), list(f.values()))
-                    at += 1 + len(f)
-                    keep = [(c, t) for (c, t), x in zip(f.items(), part[1:]) if x > part[0] - _PRUNE or control(v)]
-                    if keep or control(v) or "\ufffd" in v:
-                        rows.append((v, k, [c for c, _ in keep], [t for _, t in keep]))
+            for s in range(0, b.num_rows, 1000):
+                values = b.column("value").slice(s, 1000).to_pylist()
+                seen = {w for v in values for w in v.split(" ")}
+                words.learn(x for w in seen for x in (w, *codecs.forms(w).values()))
+                found = [(v, repairs(v, codecs, lambda x, y: words.score(x) > words.score(y))) for v in values]
+                rows = [(v, list(f), list(f.values())) for v, f in found if f or control(v) or "\ufffd" in v]
                 if rows:
                     c = list(zip(*rows))
-                    types = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, types)], names=["value", "n", "chains", "texts"])
+                    types = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, types)], names=["value", "chains", "texts"])
 
     return run
 
@@ -326,69 +361,102 @@ def _left_out(g: np.ndarray, of: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scored(b: pa.RecordBatch, m: Model) -> Iterator[tuple[str, int, list[str], list[str], np.ndarray]]:
-    """Values, their options and log-likelihoods. A value's own part in the model is left out: one whole occurrence of the text
-    as it stands, as a text that recurs is evidence for itself; exactly what it added to its repairs, which other values must
-    support."""
-    values, ns, chains, texts, ps = (b.column(c).to_pylist() for c in ("value", "n", "chains", "texts", "p"))
-    flat = [t for v, x in zip(values, texts) for t in (v, *x)]
-    weight = np.array([w for x, n, p in zip(texts, ns, ps) for w in (1, *((n * q for q in p[1:]) if p else [0] * len(x)))], float)
-    of = np.repeat(np.arange(len(values)), [1 + len(x) for x in texts])
-    g, part = _codes(flat)
-    ll, at = m.score_codes(g, part, len(flat), _left_out(g, of[part], weight[part])), 0
-    for v, n, c, t in zip(values, ns, chains, texts):
-        yield v, n, c, t, ll[at : at + 1 + len(t)] + _sequences(v, c, t)
-        at += 1 + len(t)
+_SCORED = "value string, at array<int>, chains array<string>, ll array<double>"
 
 
-def _expect(model, prior: dict[str, float], power: float):
-    """The E step: the options with their probabilities under the model, and the prior."""
+def _likelihoods(model):
+    """The options of each value that count, with their log-likelihoods; the first is the text as it stands.
+
+    A value's own part in the model is left out: one occurrence of the text as it stands, as a text that recurs is evidence for
+    itself; exactly what it added to its repairs (``w``, by option), which other values must support."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.of(model.value)
+        words = Words(m)
         for whole in batches:
             for s in range(0, whole.num_rows, 1000):
                 b = whole.slice(s, 1000)
-                p = [posterior(v, c, prior, ll, power).tolist() for v, _, c, _, ll in _scored(b, m)]
-                names = ["value", "n", "chains", "texts"]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p, pa.list_(pa.float64()))], names=[*names, "p"])
+                values, chains, texts, ws = (b.column(c).to_pylist() for c in ("value", "chains", "texts", "w"))
+                flat = [t for v, x in zip(values, texts) for t in (v, *x)]
+                size = np.array([1 + len(x) for x in texts])
+                of, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+                weight = np.zeros(len(flat))
+                for k, w in zip(first, ws):
+                    weight[k] = 1
+                    for i, x in w or []:
+                        weight[k + 1 + i] = x
+                seq = np.concatenate([_sequences(v, c, t) for v, c, t in zip(values, chains, texts)])
+                rough = words.texts(flat) + seq
+                keep = (rough >= np.maximum.reduceat(rough, first)[of] - MARGIN) | (weight > 0)
+                at = np.flatnonzero(keep)
+                g, part = _codes([flat[i] for i in at])
+                ll = m.score_codes(g, part, len(at), _left_out(g, of[at][part], weight[at][part])) + seq[at]
+                cut = np.searchsorted(of[at], np.arange(len(size) + 1))
+                place = at - first[of[at]] - 1
+                rows = [(v, place[a + 1 : e].tolist(), [c[i] for i in place[a + 1 : e]], ll[a:e].tolist()) for v, c, a, e in zip(values, chains, cut, cut[1:])]
+                c = list(zip(*rows))
+                types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, types)], names=["value", "at", "chains", "ll"])
+
+    return run
+
+
+def _local(own: dict[str, float], names: list[str], n: int, mass: dict[str, float], above: dict[str, float], alpha: float) -> dict[str, float]:
+    """Chain probabilities of a group of ``n`` records, of which one is left out, shrunk to those ``above`` it."""
+    n = max(1, n)
+    out = {c: (max(0.0, mass.get(c, 0.0) - own.get(c, 0.0)) + alpha * above.get(c, 0.0)) / (n - 1 + alpha) for c in names}
+    rest = n - 1 - sum(mass.values()) + sum(own.values())
+    return out | {"": (max(0.0, rest) + alpha * above.get("", 0.0)) / (n - 1 + alpha)}
+
+
+_CELL = "source string, field string, value string, n long, n_sf long, n_s long, own array<struct<chain:string,p:double>>, at array<int>, p array<double>, moved double"
+
+
+def _posteriors(prior: dict[str, float], power: float, alpha: float):
+    """The cells with the probabilities of their options (``p``, the text as it stands first) under their source's and field's chains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("value", "n", "n_sf", "n_s", "own", "chains", "ll", "m_sf", "m_s")]
+            owns, ps, moved = [], [], []
+            for v, n, nsf, ns, own, chains, ll, msf, ms in zip(*cols):
+                before = {x["chain"]: x["p"] for x in own or []}
+                names = list(dict.fromkeys([*chains, *(c.removesuffix(",partly") for c in chains)]))
+                here = _local(before, names, nsf, dict(msf or []), _local(before, names, ns, dict(ms or []), prior, alpha), alpha) if power else prior
+                p = posterior(v, chains, here, np.array(ll), power)
+                ps.append(p.tolist())
+                now: dict[str, float] = {}
+                for c, x in zip(chains, p[1:]):
+                    now[c] = now.get(c, 0.0) + float(x)
+                owns.append([{"chain": c, "p": x} for c, x in now.items()])
+                moved.append(n * abs(sum(before.values()) - sum(now.values())))
+            names = ["source", "field", "value", "n", "n_sf", "n_s"]
+            item = pa.list_(pa.struct([("chain", pa.string()), ("p", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(owns, item), b.column("at"), pa.array(ps, pa.list_(pa.float64())), pa.array(moved, pa.float64())], names=[*names, "own", "at", "p", "moved"])
 
     return run
 
 
 def _maximise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The M step: the change that the repaired texts make to the first model, and the mass of each chain."""
-    delta, mass = Model(), {}
+    """The change that the repaired texts make to the first model."""
+    delta = Model()
     for whole in batches:
         for s in range(0, whole.num_rows, 1000):
             texts, weight = [], []
-            for v, n, c, t, p in zip(*(whole.column(x).slice(s, 1000).to_pylist() for x in ("value", "n", "chains", "texts", "p"))):
-                texts += [v, *t]
-                weight += [n * (p[0] - 1), *(n * x for x in p[1:])]
-                for name, x in zip(c, p[1:]):
-                    mass[name] = mass.get(name, 0.0) + n * x
+            for v, t, w in zip(*(whole.column(x).slice(s, 1000).to_pylist() for x in ("value", "texts", "w"))):
+                if w:
+                    texts += [v, *(t[i] for i, _ in w)]
+                    weight += [-sum(x for _, x in w), *(x for _, x in w)]
             if texts:
                 delta.add(texts, np.array(weight))
-    yield from _emit(delta, mass)
-
-
-def _likelihoods(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model.of(model.value)
-        for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                b = whole.slice(s, 1000)
-                ll = [x.tolist() for *_, x in _scored(b, m)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("value", "chains", "texts")), pa.array(ll, pa.list_(pa.float64()))], names=["value", "chains", "texts", "ll"])
-
-    return run
+    yield from _emit(delta, {})
 
 
 _LETTERS = "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isalpha()) + "’°"
 
 
 def fill_lost(text: str, model: Model, width: int = 24) -> str:
-    """Best guess for each U+FFFD, by the model; words are searched with a beam. The bytes themselves are gone."""
+    """Best guess for each U+FFFD, by the model. The bytes are gone, so no search finds them for sure; ``width`` prefixes are kept."""
     words = text.split(" ")
     for k, w in enumerate(words):
         if "\ufffd" in w:
@@ -403,41 +471,31 @@ def fill_lost(text: str, model: Model, width: int = 24) -> str:
     return " ".join(words)
 
 
-def _decide(model, prior: dict[str, float], alpha: float):
-    """Posterior of each occurrence under the prior of its source and field, itself left out of that prior."""
+_DECIDED = "source string, field string, value string, damaged double, chain string, written string"
+
 
-    def local(own: np.ndarray, names: list[str], n: int, mass: dict[str, float], above: dict[str, float]) -> dict[str, float]:
-        got = {c: max(0.0, mass.get(c, 0.0) - o) for c, o in zip(names, own[1:])}
-        out = {c: (got[c] + alpha * above.get(c, 0.0)) / (n - 1 + alpha) for c in names}
-        rest = n - 1 - sum(mass.values()) + own[1:].sum()
-        return out | {"": (max(0.0, rest) + alpha * above.get("", 0.0)) / (n - 1 + alpha)}
+def _decide(model):
+    """What a cell's values are: the probability of damage, the likeliest chain and the text as written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.of(model.value)
         for b in batches:
             out = []
-            cols = [b.column(c).to_pylist() for c in ("value", "chains", "texts", "ll", "n_s", "m_s", "n_sf", "m_sf")]
-            for v, chains, texts, ll, ns, ms, nsf, msf in zip(*cols):
-                ll = np.array(ll)
-                own = posterior(v, chains, prior, ll)
-                p = posterior(v, chains, local(own, chains, nsf, dict(msf or []), local(own, chains, ns, dict(ms or []), prior)), ll)
-                k = int(np.argmax(p[1:])) if chains else -1
+            for v, at, p, chains, texts in zip(*(b.column(c).to_pylist() for c in ("value", "at", "p", "chains", "texts"))):
+                k = int(np.argmax(p[1:])) if at else -1
                 if "\ufffd" in v:
-                    out.append((1.0, LOST, fill_lost(texts[k] if k >= 0 and p[1 + k] > 0.5 else v, m)))
+                    out.append((1.0, LOST, fill_lost(texts[at[k]] if k >= 0 and p[1 + k] > 0.5 else v, m)))
                 elif k < 0:
-                    out.append((1.0 - float(p[0]), LOST, None))
+                    out.append((1.0 - p[0], LOST, None))
                 else:
-                    out.append((1.0 - float(p[0]), chains[k], texts[k]))
+                    out.append((1.0 - p[0], chains[at[k]], texts[at[k]]))
             c = list(zip(*out)) if out else [[], [], []]
-            names = ["archive_name", "vec_seq", "feature_id", "prop", "value"]
+            names = ["source", "field", "value"]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(c[0], pa.float64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.string())], names=[*names, "damaged", "chain", "written"])
 
     return run
 
 
-_RESULT = "archive_name string, vec_seq int, feature_id string, prop string, value string, damaged double, chain string, written string"
-
-
 def occurrences(features: DataFrame) -> DataFrame:
     """(archive_name, vec_seq, feature_id, prop, value) of the values that aren't null, repeated rows once."""
     return features.select("archive_name", "vec_seq", "feature_id", F.explode("properties").alias("prop", "value")).filter(F.col("value").isNotNull()).distinct()
@@ -451,51 +509,41 @@ def damaged_values(features: DataFrame, alpha: float = 20.0) -> DataFrame:
     sources weighs against a source's own, and a source's against a field's of it.
     """
     spark = features.sparkSession
-    occ = written(occurrences(features), "values")
+    cores = max(2, spark.sparkContext.defaultParallelism)
+    occ = written(occurrences(features).withColumn("source", F.coalesce("archive_name", F.lit("\x00"))).withColumnRenamed("prop", "field"), "values")
     values = written(occ.groupBy("value").agg(F.count("*").alias("n")), "distinct")
     base, total = _gather(values.mapInArrow(_train, _STAT), Model())
-    bc = spark.sparkContext.broadcast(base.packed())
-    cores = max(2, spark.sparkContext.defaultParallelism)
-    odd = values.filter(F.col("value").rlike(r"[^\x00-\x7F]")).repartition(2 * cores, "value")
-    options = written(odd.mapInArrow(_options(bc), _OPTIONS), "options").withColumn("p", F.lit(None).cast("array<double>"))
-    model, prior = base, {}
-    for power in TEMPER:
-        now = spark.sparkContext.broadcast(model.packed())
-        options = written(options.mapInArrow(_expect(now, prior, power), _STATE), "options")
-        model, mass = _gather(options.mapInArrow(_maximise, _STAT), base)
-        now.destroy()
-        every = max(1.0, total.get("", 1.0))
-        prior = {c: x / every for c, x in mass.items()}
+    every = max(1.0, total.get("", 1.0))
+    sent = spark.sparkContext.broadcast(base.packed())
+    odd = values.filter(F.col("value").rlike(r"[^\x00-\x7F]")).select("value").repartition(2 * cores, "value")
+    options = written(odd.mapInArrow(_options(sent), _OPTIONS), "options")
+    of_field = occ.groupBy("source", "field").agg(F.count("*").alias("n_sf"))
+    of_source = of_field.groupBy("source").agg(F.sum("n_sf").alias("n_s"))
+    cells = occ.join(options.select("value"), "value", "left_semi").groupBy("source", "field", "value").agg(F.count("*").alias("n"))
+    cells = cells.join(of_field, ["source", "field"]).join(of_source, "source").withColumn("own", F.lit(None).cast("array<struct<chain:string,p:double>>"))
+    cells, weighted, prior = written(cells, "cells"), options.withColumn("w", F.lit(None).cast("map<int,double>")), {"": 1.0}
+    entries = lambda c, v: F.map_from_entries(F.collect_list(F.struct(c, v)))
+    for k in range(ROUNDS):
+        scored = weighted.mapInArrow(_likelihoods(sent), _SCORED)
+        mass = cells.select("source", "field", "n", F.explode("own").alias("o")).groupBy("source", "field", F.col("o.chain").alias("chain")).agg(F.sum(F.col("n") * F.col("o.p")).alias("m"))
+        by_field = mass.groupBy("source", "field").agg(entries("chain", "m").alias("m_sf"))  # as many entries as there are chains
+        by_source = mass.groupBy("source", "chain").agg(F.sum("m").alias("m")).groupBy("source").agg(entries("chain", "m").alias("m_s"))
+        state = cells.select("source", "field", "value", "n", "n_sf", "n_s", "own").join(scored, "value").join(by_field, ["source", "field"], "left").join(by_source, "source", "left")
+        cells = written(state.mapInArrow(_posteriors(prior, TEMPER[k] if k < len(TEMPER) else 1.0, alpha), _CELL), "cells")
+        shares = cells.select("n", F.explode("own").alias("o")).groupBy("o.chain").agg(F.sum(F.col("n") * F.col("o.p")).alias("m")).collect()  # one row per chain
+        prior = {r["chain"]: r["m"] / every for r in shares}
         prior[""] = max(1e-6, 1 - sum(prior.values()))
-    now = spark.sparkContext.broadcast(model.packed())
-    scored = written(options.mapInArrow(_likelihoods(now), "value string, chains array<string>, texts array<string>, ll array<double>"), "scored")
-    hit = written(occ.join(scored, "value"), "hits")
-    by_value = scored.mapInArrow(_masses(prior), "value string, chain string, p double")
-    m = occ.select("archive_name", "prop", "value").join(by_value, "value").groupBy("archive_name", "prop", "chain").agg(F.sum("p").alias("p"))
-    sf = m.groupBy("archive_name", "prop").agg(F.map_from_entries(F.collect_list(F.struct("chain", "p"))).alias("m_sf"))
-    s = m.groupBy("archive_name", "chain").agg(F.sum("p").alias("p")).groupBy("archive_name").agg(F.map_from_entries(F.collect_list(F.struct("chain", "p"))).alias("m_s"))
-    n_sf = occ.groupBy("archive_name", "prop").agg(F.count("*").alias("n_sf"))
-    n_s = n_sf.groupBy("archive_name").agg(F.sum("n_sf").alias("n_s"))
-    a, b, c, d = (x.withColumnRenamed("archive_name", "_a").withColumnRenamed("prop", "_p") for x in (n_sf, n_s, sf, s))
-    same = lambda l, r, p: l["archive_name"].eqNullSafe(r["_a"]) & ((l["prop"] == r["_p"]) if p else F.lit(True))
-    for r, p in ((a, True), (b, False), (c, True), (d, False)):
-        hit = hit.join(r, same(hit, r, p), "left").drop("_a", "_p")
-    return hit.mapInArrow(_decide(now, prior, alpha), _RESULT)
-
-
-def _masses(prior: dict[str, float]):
-    """Per value the probability of each chain that matters; as these are values' own, they are few."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for v, chains, ll in zip(*(b.column(c).to_pylist() for c in ("value", "chains", "ll"))):
-                p = posterior(v, chains, prior, np.array(ll))[1:] if chains else []
-                rows += [(v, c, float(x)) for c, x in zip(chains, p) if x > 1e-3]
-            c = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.float64())], names=["value", "chain", "p"])
-
-    return run
+        moved = cells.agg(F.sum("moved")).first()[0] or 0.0
+        if k >= len(TEMPER) and moved <= max(1.0, SETTLED * every):
+            break
+        w = cells.select("value", "n", F.explode(F.arrays_zip("at", F.slice("p", 2, F.size("at")).alias("q"))).alias("o")).filter("o.q > 1e-12")
+        w = w.groupBy("value", F.col("o.at").alias("at")).agg(F.sum(F.col("n") * F.col("o.q")).alias("x")).groupBy("value").agg(entries("at", "x").alias("w"))
+        weighted = written(options.join(w, "value", "left"), "weighted")
+        model, _ = _gather(weighted.mapInArrow(_maximise, _STAT), base)
+        sent.unpersist()
+        sent = spark.sparkContext.broadcast(model.packed())
+    decided = cells.select("source", "field", "value", "at", "p").join(options, "value").mapInArrow(_decide(sent), _DECIDED)
+    return occ.join(decided, ["source", "field", "value"]).select("archive_name", "vec_seq", "feature_id", F.col("field").alias("prop"), "value", "damaged", "chain", "written")
 
 
 def found(rows: DataFrame, least: float = 0.5) -> DataFrame:

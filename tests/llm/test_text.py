@@ -223,6 +223,10 @@ def test_undoing_each_chain():
     for w, d in (("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("mac_roman", "cp1252"), ("cp850", "cp1252")):
         assert t in garbled.repairs(damage(t, w, d), c, lambda a, b: True).values(), (w, d)
     assert t in garbled.repairs(damage(t, "utf-8", "latin-1", 2), c, lambda a, b: True).values()
+    for w, d in (("cp1252", "iso8859-5"), ("cp1252", "iso8859-7")):
+        assert "Forêt" in garbled.repairs(damage("Forêt", w, d), c, lambda a, b: True).values(), (w, d)
+    twice = damage(damage("Forêt", "utf-8", "cp1252"), "cp1252", "cp850")
+    assert "Forêt" in garbled.repairs(twice, c, lambda a, b: True).values()
     assert garbled.repairs("plain", c, lambda a, b: True) == {} and garbled.repairs("", c, lambda a, b: True) == {}
 
 
@@ -272,6 +276,6 @@ def test_copies_of_a_damaged_value_drop_no_chain():
     wrong = damage(right, "cp850", "cp1252")
     m = garbled.Model()
     m.add([wrong, *WORDS], np.array([400.0] + [1.0] * len(WORDS)))
-    batch = pa.RecordBatch.from_pydict({"value": [wrong], "n": [400]})
+    batch = pa.RecordBatch.from_pydict({"value": [wrong]})
     rows = [r for b in garbled._options(type("Sent", (), {"value": m.packed()}))(iter([batch])) for r in b.to_pylist()]
     assert rows and right in rows[0]["texts"]
