@@ -58,5 +58,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more; what else lies in the shared folder stays."""
+    for df in tables:
+        spark = df.sparkSession
+        for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if at.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") == shared_dir(spark).split(":", 1)[-1].lstrip("/"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
