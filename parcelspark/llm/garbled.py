@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import release, written
 
 #: Single-byte charsets that text is decoded with by mistake, and those that it was written in.
 DECODED = ("cp1252", "latin-1", "iso8859-15", "cp850", "cp437", "mac_roman", "cp1250", "iso8859-2", "cp1254", *(f"iso8859-{n}" for n in range(3, 9)))
@@ -259,6 +259,8 @@ _STAT = "part int, name string, bucket int, w double"
 SEQUENCE = 3.5
 #: Options that a word by word score puts this many nats behind the best count nothing in a round; they stay for the next.
 MARGIN = 30.0
+#: What is less than a billionth of a record is none.
+NIL = 1e-9
 #: How far the chains' estimated probabilities count in the first rounds. At first evidence decides alone, so that a frequent
 #: kind of damage can't pass for spelling.
 TEMPER = (0.0, 0.25, 0.5)
@@ -417,22 +419,25 @@ def _posteriors(prior: dict[str, float], power: float, alpha: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("value", "n", "n_sf", "n_s", "own", "chains", "ll", "m_sf", "m_s")]
-            owns, ps, moved = [], [], []
-            for v, n, nsf, ns, own, chains, ll, msf, ms in zip(*cols):
+            cols = [b.column(c).to_pylist() for c in ("value", "n", "n_sf", "n_s", "own", "at", "chains", "ll", "m_sf", "m_s")]
+            owns, ats, ps, moved = [], [], [], []
+            for v, n, nsf, ns, own, at, chains, ll, msf, ms in zip(*cols):
                 before = {x["chain"]: x["p"] for x in own or []}
                 names = list(dict.fromkeys([*chains, *(c.removesuffix(",partly") for c in chains)]))
                 here = _local(before, names, nsf, dict(msf or []), _local(before, names, ns, dict(ms or []), prior, alpha), alpha) if power else prior
                 p = posterior(v, chains, here, np.array(ll), power)
-                ps.append(p.tolist())
+                some = np.flatnonzero(p[1:] > NIL)
+                ats.append([at[i] for i in some])
+                ps.append([float(p[0]), *p[1:][some].tolist()])
                 now: dict[str, float] = {}
                 for c, x in zip(chains, p[1:]):
                     now[c] = now.get(c, 0.0) + float(x)
+                now = {c: x for c, x in now.items() if x > NIL}
                 owns.append([{"chain": c, "p": x} for c, x in now.items()])
                 moved.append(n * abs(sum(before.values()) - sum(now.values())))
             names = ["source", "field", "value", "n", "n_sf", "n_s"]
             item = pa.list_(pa.struct([("chain", pa.string()), ("p", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(owns, item), b.column("at"), pa.array(ps, pa.list_(pa.float64())), pa.array(moved, pa.float64())], names=[*names, "own", "at", "p", "moved"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(owns, item), pa.array(ats, pa.list_(pa.int32())), pa.array(ps, pa.list_(pa.float64())), pa.array(moved, pa.float64())], names=[*names, "own", "at", "p", "moved"])
 
     return run
 
@@ -522,6 +527,7 @@ def damaged_values(features: DataFrame, alpha: float = 20.0) -> DataFrame:
     cells = occ.join(options.select("value"), "value", "left_semi").groupBy("source", "field", "value").agg(F.count("*").alias("n"))
     cells = cells.join(of_field, ["source", "field"]).join(of_source, "source").withColumn("own", F.lit(None).cast("array<struct<chain:string,p:double>>"))
     cells, weighted, prior = written(cells, "cells"), options.withColumn("w", F.lit(None).cast("map<int,double>")), {"": 1.0}
+    w_now = None
     entries = lambda c, v: F.map_from_entries(F.collect_list(F.struct(c, v)))
     for k in range(ROUNDS):
         scored = weighted.mapInArrow(_likelihoods(sent), _SCORED)
@@ -529,17 +535,21 @@ def damaged_values(features: DataFrame, alpha: float = 20.0) -> DataFrame:
         by_field = mass.groupBy("source", "field").agg(entries("chain", "m").alias("m_sf"))  # as many entries as there are chains
         by_source = mass.groupBy("source", "chain").agg(F.sum("m").alias("m")).groupBy("source").agg(entries("chain", "m").alias("m_s"))
         state = cells.select("source", "field", "value", "n", "n_sf", "n_s", "own").join(scored, "value").join(by_field, ["source", "field"], "left").join(by_source, "source", "left")
+        last = cells
         cells = written(state.mapInArrow(_posteriors(prior, TEMPER[k] if k < len(TEMPER) else 1.0, alpha), _CELL), "cells")
+        release(last)  # a round needs the one before only
         shares = cells.select("n", F.explode("own").alias("o")).groupBy("o.chain").agg(F.sum(F.col("n") * F.col("o.p")).alias("m")).collect()  # one row per chain
         prior = {r["chain"]: r["m"] / every for r in shares}
         prior[""] = max(1e-6, 1 - sum(prior.values()))
         moved = cells.agg(F.sum("moved")).first()[0] or 0.0
         if k >= len(TEMPER) and moved <= max(1.0, SETTLED * every):
             break
-        w = cells.select("value", "n", F.explode(F.arrays_zip("at", F.slice("p", 2, F.size("at")).alias("q"))).alias("o")).filter("o.q > 1e-12")
+        w = cells.select("value", "n", F.explode(F.arrays_zip("at", F.slice("p", 2, F.size("at")).alias("q"))).alias("o"))
         w = w.groupBy("value", F.col("o.at").alias("at")).agg(F.sum(F.col("n") * F.col("o.q")).alias("x")).groupBy("value").agg(entries("at", "x").alias("w"))
-        weighted = written(options.join(w, "value", "left"), "weighted")
-        model, _ = _gather(weighted.mapInArrow(_maximise, _STAT), base)
+        w, before = written(w, "weights"), w_now
+        w_now, weighted = w, options.join(w, "value", "left")
+        model, _ = _gather(options.join(w, "value").mapInArrow(_maximise, _STAT), base)
+        release(*([before] if before is not None else []))
         sent.unpersist()
         sent = spark.sparkContext.broadcast(model.packed())
     decided = cells.select("source", "field", "value", "at", "p").join(options, "value").mapInArrow(_decide(sent), _DECIDED)
