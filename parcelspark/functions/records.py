@@ -53,9 +53,10 @@ def parse_geo(data: bytes) -> tuple[int, str]:
         if name.upper() not in PROJECTIONS:
             raise RecordError("UnknownProjection", f"unknown projection {name!r}")
         return PROJECTIONS[name.upper()], name.upper()
-    for n, code in PROJECTIONS.items():
-        if any(n in line and f"{n}X" not in line for line in text.splitlines()):
-            return code, n
+    for line in text.split("\n"):  # the first line that has a known name, and in it the first name of the list
+        for n, code in PROJECTIONS.items():
+            if n in line and f"{n}X" not in line:
+                return code, n
     raise RecordError("UnknownProjection", "no projection named")
 
 

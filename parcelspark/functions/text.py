@@ -53,14 +53,16 @@ def thf_year(thf: Column) -> Column:
 def epsg(geo: Column) -> Column:
     """EPSG code of a GEO text, null if it names none that is known.
 
-    The value after the first RELSA counts; only without one, the first known name that stands in the text does.
+    The value after the first RELSA and the next colon counts; only without one, the first line that has a known name does, and
+    in it the first name of the list.
     """
-    name = F.upper(trim(F.regexp_extract(geo, r"RELSA[^:\r\n]*:([^\r\n]*)", 1)))
-    by_name, anywhere = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for n, code in reversed(PROJECTIONS.items()):
+    name = F.upper(trim(F.regexp_extract(geo, r"RELSA[^:]*:([^\r\n]*)", 1)))
+    by_name = F.lit(None).cast("int")
+    for n, code in PROJECTIONS.items():
         by_name = F.when(name == n, code).otherwise(by_name)
-        anywhere = F.when(geo.rlike(rf"(?m)^(?!.*{n}X).*{n}"), code).otherwise(anywhere)
-    return F.when(geo.rlike(r"RELSA[^:\r\n]*:"), by_name).otherwise(anywhere)
+    in_line = lambda line: F.coalesce(*[F.when(line.contains(n) & ~line.contains(f"{n}X"), code) for n, code in PROJECTIONS.items()])
+    anywhere = F.try_element_at(F.filter(F.transform(F.split(geo, "\n"), in_line), lambda c: c.isNotNull()), F.lit(1))
+    return F.when(geo.rlike(r"RELSA[^:]*:"), by_name).otherwise(anywhere)
 
 
 def reference(value: Column) -> Column:

@@ -52,7 +52,7 @@ def geo_projections(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in [*_NAMES, "UNKNOWN"]])
     k = F.col("o_orderkey")
     n = F.element_at(names, (k % len([*_NAMES, 0]) + 1).cast("int"))
-    geo = F.when(k % 3 == 0, F.concat(F.lit("BOMT 12:x\nRELSACC06:"), n, F.lit("\n"))).when(k % 3 == 1, F.concat(F.lit("RELSA:"), F.lower(n))).otherwise(F.concat(F.lit("TEXT\nSYS "), n, F.lit(" x")))
+    geo = F.when(k % 3 == 0, F.concat(F.lit("BOMT 12:x\nRELSACC06:"), n, F.lit("\n"))).when(k % 3 == 1, F.concat(F.lit("RELSA:"), F.lower(n))).otherwise(F.concat(F.lit("TEXT\r\nSYS "), n, F.lit(" x\r\nOLD LAMB93\r\n")))
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(text.epsg(geo), F.lit(0)).alias("epsg"))
 
 
@@ -132,9 +132,9 @@ def hash_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interop_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """BLAKE3 hashes and EWKB of the current parcels' geometries; SQL has neither."""
-    p = table(spark, d, "parcelles").filter(F.col("valid_to").isNull()).select("row_id", geometry.from_wkt(F.col("geometry")).alias("g")).filter(F.col("g").isNotNull())
-    return p.select("row_id", F.hex(geometry.blake3_hash(F.col("g"))).alias("blake3"), F.octet_length(geometry.to_ewkb(F.col("g"), 2154)).alias("ewkb_bytes"))
+    """BLAKE3 hashes and EWKB of all parcels' geometries; SQL has neither."""
+    p = table(spark, d, "parcelles").select("row_id", geometry.from_wkt(F.col("geometry")).alias("g")).filter(F.col("g").isNotNull())
+    return p.select("row_id", F.hex(geometry.blake3_hash(F.col("g"))).alias("blake3"), F.hex(geometry.to_ewkb(F.col("g"), 2154)).alias("ewkb"))
 
 
 def _built(holes: bool):
@@ -360,7 +360,7 @@ ORACLE = {
     "archive_names": r"""select archive_name, coalesce(nullif(regexp_extract(regexp_replace(regexp_replace(archive_name, '\.[^.]*$', ''), '\.tar$', ''), 'EDIGEO-(..)', 1), ''), nullif(regexp_extract(archive_name, '^[^-]*-([0-9]{2}|2[AB])', 1), ''), '00') dep,
  coalesce(nullif(regexp_extract(archive_name, '^edigeo-(2[AB]|9[78][0-9]|[0-9]{2})', 1), ''), '00') dep_file, regexp_replace(archive_name, '\.(tar\.bz2|bz2|tar)$', '') base from (select distinct archive_name from archive_files)""",
     "thf_records": "select archive_name, case when upper(trim(encoding)) = '8859-9' then 'cp1254' when upper(trim(encoding)) in ('8859-2','8859-3','8859-4','8859-5','8859-6','8859-7','8859-8') then 'iso' || upper(trim(encoding)) else 'iso8859-15' end codec, coalesce(year, 2020) as year from thf_data",
-    "geo_projections": "with n(i, name, code) as (values " + ",".join(f"({i},'{n}',{c})" for i, (n, c) in enumerate(text.PROJECTIONS.items())) + f") select o_orderkey, coalesce(code, 0) epsg from orders left join n on o_orderkey % {len(_NAMES) + 1} = i",
+    "geo_projections": "with n(i, name, code) as (values " + ",".join(f"({i},'{n}',{c})" for i, (n, c) in enumerate(text.PROJECTIONS.items())) + f") select o_orderkey, coalesce(code, case when o_orderkey % 3 = 2 then 2154 else 0 end) epsg from orders left join n on o_orderkey % {len(_NAMES) + 1} = i",
     "parse_references": "select ref_id, coalesce(sid, '') sid, coalesce(gid, '') gid, coalesce(rty, '') rty, coalesce(rid, '') rid from vec_references",
     "parse_coordinates": f"with {_A} select id, case when id % 5 <> 0 then x end x, case when id % 5 <> 0 then y end y from a",
     "number_cleaning": f"select distinct archive_name, vec_seq, feature_id, try_cast({_CLEAN.format("properties['SUPF']")} as double) supf, trunc(try_cast({_CLEAN.format("properties['INDP']")} as double)) indp, try_cast({_CLEAN.format("'+' || properties['SUPF'] || '.'")} as double) signed from features where properties['SUPF'] is not null or properties['INDP'] is not null",

@@ -12,16 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, projection, text
 from ..operators import versioning
-from ..operators.incremental import VersionedTable
+from ..operators.incremental import Batch, VersionedTable, visible_version
 from ..session import written
 from ..sources import archives
 from . import config as configs
 
 
-#: Changed archives that are named to the reader one by one; their paths come to the driver.
-MOST_PATHS = 10_000
-
-
 @dataclass
 class Report:
     """Counts of one import; ``by_type`` has inserted, duplicates, known and invalid features per table."""
@@ -106,27 +102,33 @@ def _skip_known(files: DataFrame, ledger: DataFrame | None, vintage: str, preset
 def import_archives(
     spark: SparkSession, path: str, date: str, root: str, config: str = "full", srid: int = 4326, digits: int | None = None,
     dep: str | None = None, drop_table: bool = False, drop_schema: bool = False, trust_stat: bool = False, compat: bool = False,
+    hash: str = "sha2", mode: str = "append",
 ) -> Report:
     """Import the archives below ``path`` into tables under ``root`` as of the month ``date`` (yyyy-MM).
 
     Archives whose checksum is in the ledger for this vintage, configuration and SRID are skipped before they are unpacked
     (``compat``: whatever they were imported for). ``drop_table`` empties the configured tables and the ledger first,
-    ``drop_schema`` all tables below ``root``; earlier versions stay readable by number. With ``trust_stat`` those of unchanged size and time aren't even read. Rows
-    are committed before the ledger; an import that dies between the two is repeated and adds nothing twice.
+    ``drop_schema`` all tables below ``root``; earlier versions stay readable by number. With ``trust_stat`` those of unchanged size and time aren't even read.
+
+    All tables become visible with the ledger's commit, or none does: an import that dies is repeated and adds nothing twice.
+    ``hash``: ``sha2`` in the JVM, ``blake3`` for exchange with stores that have such hashes. ``mode``: ``append`` adds geometries
+    that aren't known yet; ``scd2`` closes the open row of a changed geometry and opens another; ``mark_upsert`` ends all open
+    rows and reopens those that come again. The last two take an import as the whole of what there is.
     """
+    if hash not in ("sha2", "blake3") or mode not in ("append", "scd2", "mark_upsert"):
+        raise ValueError(f"unknown hash {hash!r} or mode {mode!r}")
     began = time.time()
     day = text.vintage(date)
     tables = configs.load(config)
     digits = projection.precision(srid) if digits is None else digits
     ledger = VersionedTable(spark, f"{root}/_ledger")
     stores = {t.name: VersionedTable(spark, f"{root}/{t.name}") for t in tables}
-    if drop_schema:
-        for name in _tables_below(spark, root):
-            s = VersionedTable(spark, f"{root}/{name}")
-            s.clear()
-    if drop_table:
-        for s in [*stores.values(), ledger]:
-            s.clear()
+    if drop_schema or drop_table:
+        gone = [VersionedTable(spark, f"{root}/{name}") for name in _tables_below(spark, root)] if drop_schema else list(stores.values())
+        seen = {s.root: s.clear() for s in gone if s.root != ledger.root}
+        here = ledger.version()
+        state = ledger.state(here)
+        ledger.commit(here, remove=list(state.files), meta={"versions": {**state.meta.get("versions", {}), **seen}})
     listed = archives.list_archives(spark, path)
     report = Report(day, archives_seen=listed.count())
     if not report.archives_seen:
@@ -135,11 +137,11 @@ def import_archives(
     source: str | list[str] = path
     if trust_stat and known is not None:
         fresh = _skip_known(listed, known, day, config, srid, compat, ["archive_name", "length", "modificationTime"])
-        names = [r["path"] for r in fresh.select("path").limit(MOST_PATHS + 1).collect()]
-        if not names:
+        # one path per changed archive, as the scan that reads them lists them anyway
+        source = [r["path"] for r in fresh.select("path").collect()]
+        if not source:
             report.archives_skipped = report.archives_seen
             return report.finish(began)
-        source = names if len(names) <= MOST_PATHS else path  # beyond that all are read, and skipped by checksum
     todo = _skip_known(archives.read_files(spark, source).withColumn("checksum", archives.checksum()), known, day, config, srid, compat, ["archive_name", "checksum"])
     parsed = written(archives.parse_files(todo, configs.wanted_types(tables) | {"COMMUNE", "SECTION"}, dep).withColumnRenamed("department", "departement"), "parsed")
     bad, good = archives.only_errors(parsed), archives.only_features(parsed)
@@ -149,17 +151,19 @@ def import_archives(
     ).first()
     report.archives_processed, report.error_count, report.archives_failed, report.features = n["archives"], n["errors"], n["failed"], n["features"]
     report.archives_skipped = report.archives_seen - report.archives_processed
-    if n["errors"]:
+    batch = Batch(ledger)  # committed at the end; an exception before leaves files that no version names
+    if n["errors"]:  # all of them are in the table _errors; the report shows the first
+        batch.append(VersionedTable(spark, f"{root}/_errors"), bad.select("archive_name", "vec_seq", "error.*", F.lit(day).alias("vintage"), F.current_timestamp().alias("at")))
         report.errors = [{"archive_name": r["archive_name"], **r["error"].asDict()} for r in bad.select("archive_name", "error").limit(50).collect()]
     if n["features"]:
-        rows = reprojected(good, srid, n["codes"]).withColumn("geom", geometry.rounded(F.col("geom"), digits)).withColumn("geometry_hash", geometry.geometry_hash(F.col("geom")))
+        rows = reprojected(good, srid, n["codes"]).withColumn("geom", geometry.rounded(F.col("geom"), digits)).withColumn("geometry_hash", (geometry.blake3_hash if hash == "blake3" else geometry.geometry_hash)(F.col("geom")))
         rows = written(rows.join(archive_constants(good), "path").withColumn("_valid", geometry.is_valid(F.col("geom"))).withColumn("_kind", text.normal_type(F.col("feature_type"))), "features")
         # as many rows as there are configured types
         counts = {(r["_kind"], r["_valid"]): r["count"] for r in rows.groupBy("_kind", "_valid").count().collect()}
         report.skipped_types = sum(c for (k, _), c in counts.items() if not any(k in t.types for t in tables))
         jobs = [t for t in tables if any((k, True) in counts or (k, False) in counts for k in t.types)]
         with ThreadPool(max(1, min(8, len(jobs)))) as pool:  # tables are independent, so their jobs overlap
-            done = pool.map(lambda t: _store(rows.filter("_valid"), t, stores[t.name], day), jobs)
+            done = pool.map(lambda t: _store(rows.filter("_valid"), t, stores[t.name], day, mode, batch), jobs)
         for t, (inserted, unseen) in zip(jobs, done):
             staged, invalid = (sum(counts.get((k, v), 0) for k in t.types) for v in (True, False))
             unseen = staged if unseen is None else unseen
@@ -167,22 +171,29 @@ def import_archives(
     failed = bad.filter(F.col("vec_seq").isNull()).select("path")
     ok = parsed.filter(F.col("archive") & F.col("checksum").isNotNull()).select("path", "archive_name", "checksum")
     ok = (ok.join(failed, "path", "left_anti") if n["failed"] else ok).join(listed.select("path", "length", "modificationTime"), "path")
-    ledger.append(ok.select("archive_name", "checksum", "length", "modificationTime", F.lit(day).alias("vintage"), F.lit(config).alias("config"), F.lit(srid).alias("srid"), F.current_timestamp().alias("imported_at")))
+    batch.append(ledger, ok.select("archive_name", "checksum", "length", "modificationTime", F.lit(day).alias("vintage"), F.lit(config).alias("config"), F.lit(srid).alias("srid"), F.current_timestamp().alias("imported_at")))
+    batch.__exit__(None)
     return report.finish(began)
 
 
-def _store(rows: DataFrame, t: configs.Table, store: VersionedTable, day: str) -> tuple[int, int | None]:
-    """Add the rows of one table that it doesn't have; (inserted, rows whose hash isn't known, None if that doesn't count)."""
-    version = store.version()
-    before = store.read(version) if store.entries(version) else None
-    new = encode(rows, t).withColumn("valid_from", F.to_date(F.lit(day))).withColumn("valid_to", F.lit(None).cast("date")).withColumn("created_at", F.current_timestamp())
+def _store(rows: DataFrame, t: configs.Table, store: VersionedTable, day: str, mode: str, batch: Batch) -> tuple[int, int | None]:
+    """Stage the rows of one table that it doesn't have; (inserted, rows whose hash isn't known, None if that doesn't count)."""
+    before = store.read(visible_version(store, batch.ledger))
+    new = encode(rows, t).withColumn("valid_from", F.to_date(F.lit(day))).withColumn("valid_to", F.lit(None).cast("date")).withColumn("created_at", F.current_timestamp()).withColumn("bbox", geometry.bbox(F.col("geom")))
+    laid = lambda df: df.repartition("departement", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("departement", "bbox.xmin", "bbox.ymin")
+    if mode != "append" and before is not None:
+        one = versioning.merge_absent(new, new.limit(0), key=("id",), order=("geometry_hash",)).drop("valid_from", "valid_to")
+        step = versioning.close_and_insert if mode == "scd2" else versioning.mark_and_upsert
+        after, actions = step(before.withColumnRenamed("geom", "geometry"), one.withColumnRenamed("geom", "geometry"), day)
+        after = after.withColumnRenamed("geometry", "geom").withColumn("bbox", geometry.bbox(F.col("geom")))
+        n = {r["action"]: r["entities"] for r in versioning.action_counts(actions).collect()}
+        batch.replace(store, laid(after))
+        return n.get("Inserted", 0) + n.get("Updated", 0), n.get("Inserted", 0) + n.get("Updated", 0)
     fresh = versioning.new_by_hash(new, before) if before is not None and t.hash_geom else new
-    kept = versioning.merge_absent(fresh, before if before is not None else new.limit(0), order=("geometry_hash",))
-    kept = kept.withColumn("bbox", geometry.bbox(F.col("geom"))).repartition("departement", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("departement", "bbox.xmin", "bbox.ymin")
-    added = store.write_files(kept)
-    if added:
-        store.commit(version, add=added)
-    return sum(e.rows for e in added), (fresh.select("geometry_hash").count() if fresh is not new else None)
+    # the key has this month in it, so of the history only this month's files are looked at
+    month = before.filter(F.col("valid_from") == F.to_date(F.lit(day))) if before is not None else new.limit(0)
+    inserted = batch.append(store, laid(versioning.merge_absent(fresh, month, order=("geometry_hash",))))
+    return inserted, (fresh.select("geometry_hash").count() if fresh is not new else None)
 
 
 def _tables_below(spark: SparkSession, root: str) -> list[str]:
@@ -192,7 +203,9 @@ def _tables_below(spark: SparkSession, root: str) -> list[str]:
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    return VersionedTable(spark, f"{root}/{table}").read()
+    """The rows of a table as the last whole import left them, or None."""
+    t = VersionedTable(spark, f"{root}/{table}")
+    return t.read(visible_version(t, VersionedTable(spark, f"{root}/_ledger")))
 
 
 def geojson_features(features: DataFrame) -> DataFrame:

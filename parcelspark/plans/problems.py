@@ -97,7 +97,28 @@ o as (select distinct origin, key_id, rid, coalesce(strftime(loaded_at, '%Y-%m')
   (select 1 from live l where l.archive_name = r.archive_name and l.vec_seq = r.vec_seq and l.rty = r.rty and l.rid = r.rid))
 """
 
+_NUMBERS = r"list_transform(regexp_extract_all({0}, '[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?'), lambda v: round(v::double * 100)::bigint)"
+_BODY = r"regexp_replace(geometry, '(?i)^\s*srid\s*=\s*[0-9]+\s*;', '')"
+_POINTS = f"""cur as (select id, commune_id, {_BODY} g from parcelles where valid_to is null and id is not null and geometry like '%(%' qualify row_number() over (partition by id order by valid_from desc nulls last, row_id desc) = 1),
+p as (select id, list_min(xs) + list_max(xs) x, list_min(ys) + list_max(ys) y from (select id, list_filter(v, lambda a, i: i % 2 = 1) xs, list_filter(v, lambda a, i: i % 2 = 0) ys from (select id, {_NUMBERS.format('g')} v from cur))),
+c as (select *, x // 2400 cx, y // 2400 cy from p),
+near as (select a.id id_a, b.id id_b from (select *, cx + i nx, cy + j ny from c, (values (-1), (0), (1)) t(i), (values (-1), (0), (1)) u(j)) a join c b on b.cx = a.nx and b.cy = a.ny and a.id < b.id
+  where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2400 * 2400)"""
+_INSIDE = f"""r as (select kind, id, row_number() over () k, unnest(regexp_extract_all(g, '\\(([^()]*)\\)', 1)) ring from (select 'section' kind, id, {_BODY} g from sections where valid_to is null and geometry is not null union all select 'commune', id, {_BODY} from communes where valid_to is null and geometry is not null)),
+v as (select kind, id, k, list_filter(n, lambda a, i: i % 2 = 1) xs, list_filter(n, lambda a, i: i % 2 = 0) ys from (select kind, id, k, list_transform({_NUMBERS.format('ring')}, lambda a: 2 * a) n from r)),
+b as (select k, min(list_min(xs)) x0, max(list_max(xs)) x1, min(list_min(ys)) y0, max(list_max(ys)) y1 from v group by 1),
+e as (select kind, id, k, xs[i] ax, ys[i] ay, xs[i + 1] bx, ys[i + 1] by_ from (select *, unnest(range(1, len(xs))) i from v)),
+t as (select e.kind, e.id region, p.id, ay, by_, p.y, (bx - ax) * (p.y - ay) - (by_ - ay) * (p.x - ax) side, e.k,
+  least(ax, bx) <= p.x and p.x <= greatest(ax, bx) and least(ay, by_) <= p.y and p.y <= greatest(ay, by_) box from b join p on p.x between x0 and x1 and p.y between y0 and y1 join e on e.k = b.k),
+inside as (select distinct kind, id id_a, region id_b from t group by kind, id, region, k having count(*) filter ((ay <= y and by_ > y and side > 0) or (by_ <= y and ay > y and side < 0)) % 2 = 1 and count(*) filter (side = 0 and box) = 0)"""
+
 ORACLE = {
+    "p1_found": f"with {_POINTS}, {_INSIDE} select 'near' kind, id_a, id_b from near union all select kind, id_a, id_b from inside",
+    "p1_spots": f"""with {_POINTS}, s as (select x, y, min(id) spot, count(*) n from p group by all), q as (select *, x // 2400 cx, y // 2400 cy from s),
+m as (select a.spot, count(*) spots, sum(b.n) around from (select *, cx + i nx, cy + j ny from q, (values (-1), (0), (1)) t(i), (values (-1), (0), (1)) u(j)) a join q b on b.cx = a.nx and b.cy = a.ny and a.spot <> b.spot where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2400 * 2400 group by 1)
+select spot, n parcels, coalesce(spots, 0) spots_near, (coalesce(around, 0) + n - 1)::bigint parcels_near from s left join m using (spot)""",
+    "p1_claims": f"""with {_POINTS}, {_INSIDE}, said as (select id, commune_id said from parcelles where valid_to is null and geometry is not null and id is not null qualify row_number() over (partition by id order by valid_from desc nulls last, row_id desc) = 1)
+select said, count(*) located, count(*) filter (exists (select 1 from inside where kind = 'commune' and id_a = p.id and id_b = said)) agreeing from p join said using (id) group by 1""",
     "p3_found": f"with {_CURRENT} select distinct file_seq from cur left join led using (archive_name) where cur.c is null or led.c is null or cur.c <> led.c",
     "p3_run_takes": """with ok as (select run_id, finished_at from import_runs where status = 'Success' and finished_at is not null),
 f as (select r.run_id, a.archive_name, a.file_seq, nullif(lower(trim(a.checksum)), '') c from import_runs r join archive_files a on a.delivered_at <= r.started_at

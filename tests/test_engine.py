@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from parcelspark.functions import records
+from parcelspark.functions import geometry, records
 from parcelspark.operators import versioning
 from parcelspark.plans import config, importer
 from parcelspark.sources import archives, sinks
@@ -58,6 +58,7 @@ def test_import_skip_change_and_export(spark, folder, tmp_path):
     r = importer.import_archives(spark, str(folder), "2024-01", root, srid=2154)
     assert (r.archives_seen, r.archives_processed, r.archives_failed, r.status, r.error_count) == (4, 4, 1, "PartialSuccess", 1)
     assert r.by_type["edi_parcelles"] == {"inserted": 6, "duplicates": 0, "known": 0, "invalid": 0} and r.imported == 12
+    assert importer.read_table(spark, root, "_errors").count() == 1
     t = importer.read_table(spark, root, "edi_parcelles")
     row = t.filter("id = '39001AA3'").first()
     assert (row.numero, row.commune_id, row.section_id, row.contenance, row.valid_from, row.valid_to) == ("é3", "39001AA0", "39001AA1", 3, date(2024, 1, 1), None)
@@ -88,9 +89,28 @@ def test_lost_ledger_commit_adds_nothing_twice(spark, folder, tmp_path):
     root = f"file://{tmp_path}/tables"
     importer.import_archives(spark, str(folder), "2024-01", root)
     ledger = importer.VersionedTable(spark, f"{root}/_ledger")
-    ledger.commit(ledger.version(), [])  # as if the run had died before it
+    ledger.commit(ledger.version(), like=0)  # as if the run had died before it
+    assert importer.read_table(spark, root, "edi_parcelles") is None
     r = importer.import_archives(spark, str(folder), "2024-01", root)
-    assert r.archives_processed == 4 and r.imported == 0 and importer.read_table(spark, root, "edi_parcelles").count() == 6
+    assert r.archives_processed == 4 and r.imported == 12 and importer.read_table(spark, root, "edi_parcelles").count() == 6
+
+
+@pytest.mark.parametrize("mode", ["scd2", "mark_upsert"])
+def test_import_modes_and_blake3(spark, tmp_path, mode):
+    (tmp_path / "in").mkdir()
+    root, at = f"file://{tmp_path}/tables", tmp_path / "in" / "edigeo-39001000AA01.tar.bz2"
+    take = lambda month: importer.import_archives(spark, str(tmp_path / "in"), month, root, srid=2154, hash="blake3", mode=mode)
+    archive(at, 1)
+    take("2024-01")
+    t = importer.read_table(spark, root, "edi_parcelles").withColumn("again", geometry.blake3_hash(F.col("geom")))
+    assert t.count() == 2 and t.filter("again = geometry_hash").count() == 2
+    archive(at, 1, 1.0)
+    r = take("2024-02")
+    assert r.by_type["edi_parcelles"]["inserted"] == 2
+    got = {(str(x.valid_from), x.valid_to and str(x.valid_to)) for x in importer.read_table(spark, root, "edi_parcelles").collect()}
+    assert got == ({("2024-01-01", "2024-02-01"), ("2024-02-01", None)} if mode == "scd2" else {("2024-01-01", None)})
+    with pytest.raises(ValueError):
+        importer.import_archives(spark, str(at), "2024-03", root, mode="other")
 
 
 def test_stream_equals_batch(spark, folder, tmp_path):

@@ -55,7 +55,7 @@ def test_record_texts(spark):
         assert records.parse_thf(said.encode())[0] == codec == one(spark, text.charset(F.lit(said)))[0]
     assert records.parse_thf(b"TDASDP:20260115")[1] == 2026 == one(spark, text.thf_year(F.lit("TDASDP:20260115")))[0]
     assert records.parse_thf(b"")[1] == 2020
-    for geo, code in (("RELSACC:LAMB93", 2154), ("RELSACC:RGF93CC46", 3946), ("X\nSYS RGF93CC50 y", 3950), ("GUAD48UTM20", 2970)):
+    for geo, code in (("RELSACC:LAMB93", 2154), ("RELSACC:RGF93CC46", 3946), ("X\nSYS RGF93CC50 y", 3950), ("GUAD48UTM20", 2970), ("SYS RGF93CC42\nOLD LAMB93", 3942), ("LAMB93X\r\nRGR92UTM LAMB93\r\n", 2154), ("RELSA\n12:RGM04\n", 32738)):
         assert records.parse_geo(geo.encode())[0] == code == one(spark, text.epsg(F.lit(geo)))[0]
     for bad in ("RELSACC:UNKNOWN_PROJ", "", "LAMB93X"):
         with pytest.raises(records.RecordError):
