@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import release, written
+from ..session import free_shuffles, release, written
 
 #: Single-byte charsets that text is decoded with by mistake, and those that it was written in.
 DECODED = ("cp1252", "latin-1", "iso8859-15", "cp850", "cp437", "mac_roman", "cp1250", "iso8859-2", "cp1254", *(f"iso8859-{n}" for n in range(3, 9)))
@@ -258,7 +258,7 @@ _STAT = "part int, name string, bucket int, w double"
 #: Log-odds for each UTF-8 sequence found in a text: written characters hardly ever happen to form one.
 SEQUENCE = 3.5
 #: Options that a word by word score puts this many nats behind the best count nothing in a round; they stay for the next.
-MARGIN = 30.0
+MARGIN = 25.0
 #: What is less than a billionth of a record is none.
 NIL = 1e-9
 #: How far the chains' estimated probabilities count in the first rounds. At first evidence decides alone, so that a frequent
@@ -550,6 +550,8 @@ def damaged_values(features: DataFrame, alpha: float = 20.0) -> DataFrame:
         w_now, weighted = w, options.join(w, "value", "left")
         model, _ = _gather(options.join(w, "value").mapInArrow(_maximise, _STAT), base)
         release(*([before] if before is not None else []))
+        del state, scored, mass, by_field, by_source, last, before
+        free_shuffles(spark)
         sent.unpersist()
         sent = spark.sparkContext.broadcast(model.packed())
     decided = cells.select("source", "field", "value", "at", "p").join(options, "value").mapInArrow(_decide(sent), _DECIDED)
